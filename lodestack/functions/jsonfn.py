@@ -9,7 +9,7 @@ import re
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 _FENCED = re.compile(r"(?is)```(?:json)?\s*(.*?)```")
 
@@ -106,13 +106,13 @@ def difference(actual: Any, expected: Any) -> str:
     return "wrong_value"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def object_text(texts: pd.Series) -> pd.Series:
     """The canonical text of the object in each text; null without one."""
     return texts.map(lambda t: None if (o := find_object(t)) is None else canonical(o))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_text(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None or (v := load(t)) is None else canonical(v))
 

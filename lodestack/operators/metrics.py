@@ -18,11 +18,11 @@ def task_metrics(df: DataFrame, task: str, passed: Column, groups: list[str] | N
     groups = groups or []
     ok = F.coalesce(passed, F.lit(False))
     per = df.groupBy(*groups, task).agg(F.count("*").alias("n"), F.count_if(ok).alias("p"))
-    any_, all_ = F.count_if("p > 0"), F.count_if("p = n")
+    any_, all_ = F.count_if(F.expr("p > 0")), F.count_if(F.expr("p = n"))
     return per.groupBy(*groups).agg(
         F.count("*").alias("tasks"), F.sum("n").alias("responses"), F.sum("p").alias("passed_responses"), (F.sum("n") - F.sum("p")).alias("failed_responses"),
         X.rate(F.sum("p"), F.sum("n"), 6).alias("response_pass_rate"), X.rate(any_, F.count("*"), 6).alias("task_pass_at_k"),
-        any_.alias("tasks_with_any_pass"), all_.alias("tasks_with_all_pass"), (any_ - all_).alias("tasks_with_partial_pass"), F.count_if("p = 0").alias("tasks_with_all_fail"),
+        any_.alias("tasks_with_any_pass"), all_.alias("tasks_with_all_pass"), (any_ - all_).alias("tasks_with_partial_pass"), F.count_if(F.expr("p = 0")).alias("tasks_with_all_fail"),
     )
 
 

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from lodestack.plans import q_joins, q_metrics, q_selection, q_text
+
+_PARTS = (q_metrics, q_selection, q_joins, q_text)
+QUERIES: dict = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+SQL: dict[str, str] = {k: s for p in _PARTS for k, s in p.SQL.items()}
