@@ -48,11 +48,22 @@ class _Bytes(dict):
 
 
 _bytes = {e: _Bytes(e) for e in LEGACY}
-#: A line without any of these has nothing to repair.
-_SUSPECT = re.compile(
-    "[\u0080-\u009f�]|[^\x00-\x7fЀ-ӿ][^\x00-\x7fЀ-ӿ‐-…€]|[─-◿]|[ЀЂ-Џѐђ-ӿ]|[А-ЯЁ]{2}|[а-яё][А-ЯЁ]"
-    "|[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]"
-)
+
+
+def _pairs() -> str:
+    """Leading and continuing bytes of UTF-8 as each legacy encoding shows them; box and block characters stand for themselves."""
+    parts = []
+    for e in LEGACY:
+        chars = {b: chr(o) for o, b in _bytes[e].items()}
+        leads = range(0xC2, 0xE0) if e in ("cp437", "cp850", "cp866") else range(0xC2, 0xF5)
+        lead, cont = ("".join(re.escape(chars[b]) for b in r if b in chars) for r in (leads, range(0x80, 0xC0)))
+        parts.append(f"[{lead}][{cont}]")
+    return "|".join(parts)
+
+
+#: A line without any of these has no UTF-8 to read back, and none of these no other encoding.
+_PAIRED = re.compile("[\u0080-\u009f]|[─-◿]|" + _pairs())
+_SWAPPED = re.compile("[\u0080-\u009f�]|[À-ÖØ-öø-ÿ]{3}|[ЀЂ-Џѐђ-ӿ]|[А-ЯЁ]{3}|[а-яё][А-ЯЁ]|[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]")
 _RUN = re.compile("[^\x00-\x7f]+")
 _MIXED = re.compile(r"[A-Za-zÀ-ÿ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ÿ]")
 _HARD = re.compile("[\u0080-\u009f�]|[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]")
@@ -101,10 +112,10 @@ def _reread(text: str, legacy: str, intended: str) -> str | None:
         return None
 
 
-def _best(text: str, now: float) -> tuple[str, float]:
+def _best(text: str, now: float, paired: bool, swapped: bool) -> tuple[str, float]:
     best, least = text, now
     for legacy in LEGACY:
-        for intended in ("utf-8", *INTENDED_SINGLE):
+        for intended in (*(("utf-8",) if paired else ()), *(INTENDED_SINGLE if swapped else ())):
             if legacy == intended:
                 continue
             other = _reread(text, legacy, intended)
@@ -135,12 +146,15 @@ def _runs(text: str) -> str:
 
 def repair_line(line: str) -> tuple[str, int, bool]:
     """The restored line, the layers undone, and whether damage is left."""
-    if line.isascii() or not _SUSPECT.search(line):
-        return line, 0, False
     layers = 0
+    if line.isascii():
+        return line, 0, False
     while layers < LAYERS:
-        new, _ = _best(line, cost(line))
-        if new == line:
+        paired, swapped = bool(_PAIRED.search(line)), bool(_SWAPPED.search(line))
+        if not paired and not swapped:
+            break
+        new, _ = _best(line, cost(line), paired, swapped)
+        if new == line and paired:
             new = _runs(line)
         if new == line:
             break
