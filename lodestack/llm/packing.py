@@ -49,5 +49,6 @@ def _rows(df: DataFrame) -> int:
 
 
 def split_documents(df: DataFrame, key: str, text: str, capacity: int = CAPACITY) -> DataFrame:
-    """(key): documents that the packing had to split."""
-    return pack(df, key, text, capacity).where("pieces > 1 and piece = 0").select("key").distinct()
+    """(key): documents whose pieces the packing puts into more than one container."""
+    packed = pack(df, key, text, capacity)
+    return packed.groupBy("key").agg(F.min("context").alias("lo"), F.max("context").alias("hi")).where("lo < hi").select("key")
