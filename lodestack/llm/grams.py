@@ -71,7 +71,7 @@ def winnow(h: np.ndarray, own: np.ndarray, span: int) -> tuple[np.ndarray, np.nd
     low = h.copy()
     last = own.copy()
     n = len(h)
-    for i in range(1, span):
+    for i in range(1, min(span, n)):
         same = np.zeros(n, dtype=bool)
         same[: n - i] = own[i:] == own[: n - i]
         nxt = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))

@@ -16,8 +16,8 @@ OTHER_CODE = re.compile(r"(?m)^[ \t]*(?:#include\s*<|public (?:class|static)|fun
 _UNFINISHED = re.compile(r"(?:[-+*/%^|&<>=,.\\:@!~(\[{]|\b(?:and|or|not|in|is|if|else|for|lambda|return|import|from|as|def|class|while|with|yield|print))\s*$")
 
 
-def open_parts(code: str) -> str:
-    """What is open at the end of the text: '' or the pending closers; a bracket left open counts until the next line that starts a statement."""
+def open_parts(code: str, lines: bool = True) -> str:
+    """What is open at the end of the text: '' or the pending closers; where ``lines`` end statements, a bracket left open counts until the next line that starts one."""
     stack: list[str] = []
     at, end = 0, len(code)
     while at < end:
@@ -31,7 +31,7 @@ def open_parts(code: str) -> str:
                 return "".join(stack) + piece
             at = close + 3
         elif piece == "\n":
-            if stack and _STATEMENT.match(code, at):
+            if lines and stack and _STATEMENT.match(code, at):
                 stack.clear()
         elif piece in _OPEN:
             stack.append(_OPEN[piece])
@@ -120,5 +120,5 @@ def answer_end(text: str) -> tuple[str, bool]:
     if PYTHON.search(text):
         return code_end(text), False
     if OTHER_CODE.search(text):
-        return ("open" if open_parts(text) else "complete"), False
+        return ("open" if open_parts(text, False) else "complete"), False
     return "complete", False
