@@ -21,7 +21,8 @@ def wilson(passed: Column, total: Column) -> tuple[Column, Column]:
     scale = 1 + Z**2 / n
     centre = (p + Z**2 / (2 * n)) / scale
     half = (Z / scale) * F.sqrt(p * (1 - p) / n + Z**2 / (4 * n * n))
-    return F.coalesce(F.greatest(F.lit(0.0), centre - half), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), centre + half), F.lit(0.0))
+    ends = F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
+    return tuple(F.when(total != 0, e).otherwise(0.0) for e in ends)
 
 
 def log_gamma(x: Column) -> Column:

@@ -60,7 +60,7 @@ def first_bad_line(spark: SparkSession, path: str) -> str | None:
 
 def document(spark: SparkSession, path: str) -> dict:
     """One JSON or YAML document, on the driver."""
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     if path.endswith((".yaml", ".yml")):
         try:
             import yaml
