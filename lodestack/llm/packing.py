@@ -3,9 +3,11 @@
 A document of more than CAPACITY tokens becomes full pieces and a rest; no other
 one is split.  Lengths are put into classes by the reciprocal of the capacity:
 class k holds lengths in (CAPACITY/(k+1), CAPACITY/k], of which k fit a container
-whatever they are.  Within a class, neighbours by length share a stripe, and a
-container takes k successive pieces of a stripe, so classes and stripes are
-filled independently on all workers.
+whatever they are.  Pieces are dealt into stripes by a hash, and every stripe is
+packed on its own: the classes one after the other, from the longest, a fixed
+count of k to a container, the remaining space of which is topped up with the
+longest pieces of later classes that fit.  Stripes have a bounded number of
+rows, also where one key is repeated, so no task grows with the data.
 
 Defined results: a null text counts as empty, which still has its end token;
 repeated keys are packed once each row; an empty table packs to nothing.
@@ -13,10 +15,14 @@ repeated keys are packed once each row; an empty table packs to nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from bisect import bisect_right
 
-CAPACITY, CLASSES = 4096, 64
-#: Rows of a stripe, at most about; every stripe leaves at most one container part-filled.
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+CAPACITY = 4096
+#: Rows of a stripe, about; every stripe leaves a few containers part-filled.
 STRIPE_ROWS = 20_000
 
 
@@ -34,18 +40,50 @@ def pieces(df: DataFrame, key: str, text: str, capacity: int = CAPACITY) -> Data
     return whole.select("key", "piece", "pieces", start.alias("start"), F.least(F.lit(capacity), F.col("total") - start).alias("tokens"))
 
 
+def containers(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+    """The number of each piece's container; lengths are at least 1 and at most ``capacity``."""
+    order = np.argsort(lengths, kind="stable")
+    sizes = lengths[order].tolist()
+    free = list(range(-1, len(sizes)))  # free[i + 1] leads to the longest piece up to place i that isn't packed
+
+    def longest(i: int) -> int:
+        root = i + 1
+        while free[root] != root - 1:
+            root = free[root] + 1
+        while free[i + 1] != root - 1:
+            free[i + 1], i = root - 1, free[i + 1]
+        return root - 1
+
+    out, n, at = np.empty(len(sizes), dtype=np.int64), 0, longest(len(sizes) - 1)
+    while at >= 0:
+        count, left = capacity // sizes[at], capacity
+        low = capacity // (count + 1)  # this class ends here
+        while at >= 0 and count and sizes[at] > low:
+            out[order[at]] = n
+            left -= sizes[at]
+            free[at + 1] = at - 1
+            at, count = longest(at), count - 1
+        while left > 0 and (i := longest(bisect_right(sizes, left) - 1)) >= 0:
+            out[order[i]] = n
+            left -= sizes[i]
+            free[i + 1] = i - 1
+        n, at = n + 1, longest(len(sizes) - 1)
+    return out
+
+
 def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY) -> DataFrame:
     """(key, piece, pieces, start, tokens, context): each piece's container."""
-    item = pieces(df, key, text, capacity).withColumn("class", F.least(F.lit(CLASSES), F.floor(capacity / F.col("tokens"))).cast("int"))
-    # stripes are narrower ranges of length within a class, and more of them where rows abound
-    spread = F.pmod(F.xxhash64("key"), F.lit(max(1, _rows(df) // STRIPE_ROWS)))
-    w = Window.partitionBy("class", "stripe").orderBy(F.desc("tokens"), "key", "piece")
-    numbered = item.withColumn("stripe", spread).withColumn("bin", F.floor((F.row_number().over(w) - 1) / F.col("class")))
-    return numbered.select("key", "piece", "pieces", "start", "tokens", F.format_string("%02d-%d-%d", "class", "stripe", "bin").alias("context"))
+    stripes = max(1, df.count() // STRIPE_ROWS)
+    item = pieces(df, key, text, capacity).withColumn("stripe", F.pmod(F.xxhash64("key", "piece", F.monotonically_increasing_id()), F.lit(stripes)).cast("long"))
+    kind = dict(item.dtypes)["key"]
 
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["tokens", "key", "piece"], na_position="first").reset_index(drop=True)
+        n = containers(pdf["tokens"].to_numpy(), capacity)
+        names = [f"{s}-{i}" for s, i in zip(pdf["stripe"], n)]
+        return pdf.assign(context=names)[["key", "piece", "pieces", "start", "tokens", "context"]]
 
-def _rows(df: DataFrame) -> int:
-    return df.count()
+    return item.groupBy("stripe").applyInPandas(one, f"key {kind}, piece long, pieces long, start long, tokens long, context string")
 
 
 def split_documents(df: DataFrame, key: str, text: str, capacity: int = CAPACITY) -> DataFrame:
