@@ -67,3 +67,28 @@ def findings(text: Column, most: int) -> Column:
     return F.slice(F.array_distinct(F.transform(lines, lambda x: X.strip(F.regexp_replace(x, r"^\s*(?:[-*•]|\d+[.)])\s*", "")))), 1, most)
 
 
+
+
+def verifier_summary(failure: Column, error: Column) -> Column:
+    """What may be told of a failure in public: its kind, and its exception's name without values."""
+    name = F.nullif(F.regexp_extract(F.coalesce(error, F.lit("")), r"^(\w*(?:Error|Exception|Exit|Interrupt))", 1), F.lit(""))
+    return F.concat_ws(": ", F.coalesce(failure, F.lit("unknown")), name)
+
+
+#: Where each kind of source row has its parts.
+LAYOUTS = {
+    "mbpp": {"id": "task_id", "task": "text", "solution": "code", "tests": "test_list"},
+    "humanevalplus": {"id": "task_id", "task": "prompt", "solution": "canonical_solution", "tests": "test"},
+    "bigcodebench": {"id": "task_id", "task": "instruct_prompt", "solution": "canonical_solution", "tests": "test"},
+    "apps": {"id": "problem_id", "task": "question", "solution": "solutions", "tests": "input_output"},
+}
+
+
+def prompt_rows(df: DataFrame, dataset: str, split: Column) -> DataFrame:
+    """(id, dataset, split, io_mode, prompt, solution, tests) from the rows of a public coding benchmark; columns that are missing are null."""
+    at = LAYOUTS[dataset]
+    get = lambda k: F.col(at[k]) if at[k] in df.columns else F.lit(None).cast("string")
+    tests = get("tests")
+    stdin = F.lit(False) if dataset != "apps" else F.coalesce(F.get_json_object(tests, "$.fn_name").isNull(), F.lit(True))
+    row_id = F.concat(F.lit(f"{dataset}/"), split, F.lit("/"), get("id").cast("string"))
+    return df.select(row_id.alias("id"), F.lit(dataset).alias("dataset"), split.alias("split"), F.when(stdin, "stdin_stdout").otherwise("function_call").alias("io_mode"), prompt(X.strip(get("task").cast("string")), stdin=stdin).alias("prompt"), get("solution").alias("solution"), tests.alias("tests"))

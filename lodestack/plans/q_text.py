@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from lodestack.functions import jsonfn as N, pyast as Y, stats as X, text as T
-from lodestack.operators import execute as E, projections as P, rubric as B, taxonomy as L
+from lodestack.operators import execute as E, judging as JU, paired, projections as P, rubric as B, taxonomy as L, tokens as K
 from lodestack.plans.tables import FAILURES, PROBLEMS, RESPONSES, SFT, judgments, once, problems, responses, table
 
 QUERIES: dict = {}
@@ -239,3 +241,41 @@ def clamped_dimension(spark, d):
     after = B.clamp_dimension(F.col("dimension_scores"), "output_shape", 2, "critical error", F.size("critical_errors") > 0)
     get = lambda m: F.try_element_at(m, F.lit("output_shape"))["score"]
     return j.select("response_id", get(F.col("dimension_scores")).alias("before"), get(after).alias("after"))
+
+
+@query(f"""with t as (select id, case when regexp_matches(coalesce(prompt, ''), '\\S') then len(regexp_extract_all(prompt, '\\S+')) else 0 end as p, case when regexp_matches(coalesce(completion, ''), '\\S') then len(regexp_extract_all(completion, '\\S+')) else 0 end as c from {SFT})
+ select id, p as prompt_tokens, c as completion_tokens, case when c < 3 then 'completion_too_short' when p >= 160 then 'prompt_too_long' when p + c > 160 then 'total_too_long' end as reason from t""")
+def token_length_gates(spark, d):
+    rows = K.with_lengths(once(spark, d, "sft_records", "id", "prompt", "completion"), ["prompt", "completion"])
+    p, c = F.col("prompt_tokens"), F.col("completion_tokens")
+    return rows.select("id", p.cast("long").alias("prompt_tokens"), c.cast("long").alias("completion_tokens"), K.length_reason(p, c, 160, 3).alias("reason"))
+
+
+@query()
+def vocabulary_lengths(spark, d):
+    """Completion lengths with a public vocabulary; its folder is the environment's TOKENIZER_DIR or the usual place."""
+    path = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers") + "/byte_bpe_50k.json"
+    rows = K.with_lengths(once(spark, d, "sft_records", "id", "completion"), ["completion"], path)
+    return rows.select("id", "completion_tokens")
+
+
+@query(f"select response_id, coalesce(failure_type, 'unknown') || coalesce(': ' || nullif(regexp_extract(coalesce(error, ''), '^(\\w*(?:Error|Exception|Exit|Interrupt))', 1), ''), '') as summary from {RESPONSES} where not coalesce(passed, false)")
+def verifier_summaries(spark, d):
+    rows = responses(spark, d, "passed", "failure_type", "error").where(~F.coalesce("passed", F.lit(False)))
+    return rows.select("response_id", P.verifier_summary(F.col("failure_type"), F.col("error")).alias("summary"))
+
+
+@query()
+def judgment_repair(spark, d):
+    """Judgments written out as a judge would and read back: what is missing or out of range is mended."""
+    dims = ["edge_case_handling", "output_shape", "string_pattern", "interface_contract", "runtime_api_use", "numeric_formula"]
+    rows = judgments(spark, d, "overall_score", "dimension_scores", "critical_errors", "confidence")
+    raw = F.concat(F.lit("My verdict:\n```json\n"), F.to_json(F.struct("dimension_scores", "critical_errors", F.when(~F.isnan("overall_score"), F.col("overall_score")).alias("overall_score"), "confidence")), F.lit("\n```"))
+    return JU.judged(rows.select("response_id", raw.alias("raw")), "raw", "response_id", dims).select("response_id", F.bround("overall_score", 4).alias("overall_score"), "predicted_pass", "confidence", "repairs")
+
+
+@query()
+def bootstrap_auc(spark, d):
+    from lodestack.plans.q_metrics import _judged
+
+    return paired.bootstrap_auc_difference(_judged(spark, d, "semantic_bottleneck_score"), F.col("passed"), F.col("overall_score"), F.col("semantic_bottleneck_score"), 0.0, 5.0)

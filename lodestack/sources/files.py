@@ -83,3 +83,12 @@ def replay(spark: SparkSession, rows: DataFrame, path: str, schema: str, key: st
     if gone:
         raise BadInput(f"{gone} rows without a recorded output")
     return joined
+
+
+def annotations(spark: SparkSession, folder: str, items_schema: str, notes_schema: str, key: str = "item_id") -> DataFrame:
+    """Review items of a folder with their annotations, the last of repeated ones; items without one stay, annotations without an item don't."""
+    items = jsonl(spark, f"{folder}/review_items.jsonl", items_schema, optional=True)
+    notes = jsonl(spark, f"{folder}/annotations.jsonl", notes_schema, optional=True).withColumn("_at", F.monotonically_increasing_id())
+    rest = [c for c in notes.columns if c not in (key, "_at")]
+    last = notes.groupBy(key).agg(F.max_by(F.struct(*rest), "_at").alias("_n")).select(key, *(F.col(f"_n.{c}").alias(c) for c in rest))
+    return items.join(last, key, "left")

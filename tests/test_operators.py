@@ -148,3 +148,50 @@ def test_joins_with_clashing_columns(spark):
         J.restricted(a, b, "id", 2)
     assert J.without(a, b, "id").count() == 1
     assert {r.k: r.n for r in J.shared_results(a.unionAll(a), ["k"], lambda x: x.withColumn("n", F.length("k"))).collect()} == {"x": 1, "y": 1}
+
+
+def test_judgments_are_mended():
+    from lodestack.operators.judging import ambiguities, deranged, normalised
+
+    dims = ["a", "b"]
+    good = normalised('x {"dimension_scores": {"a": {"applicable": true, "score": 4}, "b": {"applicable": false}}, "critical_errors": [], "overall_score": 4, "confidence": "High"}', dims)
+    assert good["predicted_pass"] and good["overall_score"] == 4 and good["confidence"] == "high" and good["repairs"] == []
+    bad = normalised('{"dimension_scores": {"a": {"score": 9}, "z": {"score": 1}}, "critical_errors": ["e", "e ", "none"]}', dims)
+    assert bad["overall_score"] is None and not bad["predicted_pass"] and bad["critical_errors"] == ["e"] and bad["repairs"] == ["bad_score:a", "missing:b"]
+    assert normalised(None, dims)["repairs"][0] == "no_object"
+    assert all(x != y for n in (2, 3, 9) for x, y in zip(range(n), deranged(list(range(n)), n))) and deranged(["a"], 1) == ["a"]
+    assert ambiguities(["unclear", "whether ties keep the first row"], ("unclear",)) == (["whether ties keep the first row"], ["unclear"])
+
+
+def test_bootstrap_of_auc_differences(spark):
+    rng = random.Random(2)
+    rows = [(y := (rng.random() < 0.5), rng.random() + y, rng.random(), None if rng.random() < 0.05 else 1.0) for _ in range(400)]
+    df = spark.createDataFrame(rows, "y boolean, a double, b double, c double")
+    worse = P.bootstrap_auc_difference(df, F.col("y"), F.col("a"), F.col("b"), 0.0, 2.0, 200).first()
+    assert worse.high < 0 and worse.not_better == 1.0 and worse.rows == 400
+    same = P.bootstrap_auc_difference(df, F.col("y"), F.col("a"), F.col("a"), 0.0, 2.0, 200).first()
+    assert (same.low, same.high) == (0.0, 0.0)
+    assert P.bootstrap_auc_difference(df.limit(0), F.col("y"), F.col("a"), F.col("b"), 0.0, 2.0).count() == 0
+
+
+def test_token_lengths(spark):
+    import os
+
+    from lodestack.operators import tokens as K
+
+    df = spark.createDataFrame([("a b  c",), ("",), (None,)], "t string")
+    assert [r.t_tokens for r in K.with_lengths(df, ["t"]).collect()] == [3, 0, 0]
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if os.path.exists(path):
+        got = [r.t_tokens for r in K.with_lengths(df, ["t"], path).collect()]
+        assert got[0] >= 3 and got[1:] == [0, 0]
+
+
+def test_prompt_rows(spark):
+    from lodestack.operators import projections as R
+
+    apps = spark.createDataFrame([(1, "Add.", '{"fn_name": "f"}', "s"), (2, "Print.", '{"inputs": []}', None), (3, "X", None, None)], "problem_id int, question string, input_output string, solutions string")
+    rows = {r.id: r for r in R.prompt_rows(apps, "apps", F.lit("train")).collect()}
+    assert rows["apps/train/1"].io_mode == "function_call" and rows["apps/train/2"].io_mode == rows["apps/train/3"].io_mode == "stdin_stdout"
+    assert "Read standard input" in rows["apps/train/2"].prompt and rows["apps/train/1"].prompt.endswith("Task:\nAdd.")
+    assert R.prompt_rows(apps.limit(0), "apps", F.lit("t")).count() == 0

@@ -46,3 +46,10 @@ def test_replay_needs_every_row(spark, tmp_path):
     rows = spark.createDataFrame([("1",), ("2",)], "response_id string")
     with pytest.raises(files.BadInput):
         files.replay(spark, rows, str(p), "response_id string, raw_output string", "response_id")
+
+
+def test_annotations_of_a_folder(spark, tmp_path):
+    (tmp_path / "review_items.jsonl").write_text('{"item_id": "1", "code": "x"}\n{"item_id": "2", "code": "y"}\n')
+    (tmp_path / "annotations.jsonl").write_text('{"item_id": "1", "label": "a"}\n{"item_id": "1", "label": "b"}\n{"item_id": "9", "label": "c"}\n')
+    got = {r.item_id: r.label for r in files.annotations(spark, str(tmp_path), "item_id string, code string", "item_id string, label string").collect()}
+    assert got == {"1": "b", "2": None}
