@@ -17,17 +17,22 @@ def gate_chain(df: DataFrame, early: list[tuple[str, Column]], late: list[tuple[
     """``df`` with ``reason``: null for accepted rows, of which each ``cap_by`` has ``cap`` at most.
 
     The cap is tested between the early and the late gates, against the rows
-    accepted before in ``order``: once it is reached, later rows that the early
-    gates let through get ``cap_reason``, whatever the late gates would say.
-    Rows of one key meet in a window; a key of very many rows spills there, and
-    only the columns of ``df`` travel.  Null keys form one group.
+    accepted before in ``order``, which must be total within a key: once it is
+    reached, later rows that the early gates let through get ``cap_reason``,
+    whatever the late gates would say.  Only the first ``cap`` passing rows of
+    each key are ranked (Spark keeps no more before the shuffle), and their last
+    one's place in the order decides for the others, so a hot key isn't sorted
+    in one task.  Null keys form one group.
     """
-    marked = df.withColumn("_early", first_reason(early)).withColumn("_late", first_reason(late))
-    passes = F.col("_early").isNull() & F.col("_late").isNull()
-    before = F.sum(passes.cast("int")).over(Window.partitionBy(cap_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    full = F.coalesce(before, F.lit(0)) >= cap
+    place = F.struct(*(F.struct(c.isNotNull().alias("n"), c.alias("v")).alias(f"o{i}") for i, c in enumerate(order)))
+    marked = df.withColumn("_early", first_reason(early)).withColumn("_late", first_reason(late)).withColumn("_o", place)
+    passing = marked.where(F.col("_early").isNull() & F.col("_late").isNull()).select(F.col(cap_by).alias("_k"), "_o")
+    first = passing.withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy("_o"))).where(F.col("_r") <= cap)
+    last = first.groupBy("_k").agg(F.count("*").alias("_n"), F.max("_o").alias("_last")).where(F.col("_n") >= cap).drop("_n")
+    joined = marked.join(last, F.col(cap_by).eqNullSafe(F.col("_k")), "left")
+    full = F.coalesce(F.col("_o") > F.col("_last"), F.lit(False))
     reason = F.coalesce(F.col("_early"), F.when(full, cap_reason), F.col("_late"))
-    return marked.withColumn("reason", reason).drop("_early", "_late")
+    return joined.withColumn("reason", reason).drop("_early", "_late", "_o", "_k", "_last")
 
 
 def reason_counts(df: DataFrame, accepted: str = "accepted") -> DataFrame:

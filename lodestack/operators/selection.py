@@ -50,30 +50,33 @@ def greedy_capped(df: DataFrame, order: list[str], caps: dict[str, int]) -> Data
 
     In each round a row is taken for sure if it fits even when every undecided
     row before it in its groups is taken, and refused once a group is full.
-    The first undecided row is always decided, so the rounds end.  ``order``
-    must be total; rows with a null key are refused.
+    The first undecided row is always decided, so the rounds end.  Only the
+    first rows of each group up to its cap can be taken for sure; no more are
+    ranked, whatever a group's size.  ``order`` must name columns that tell all
+    rows apart; rows with a null key are refused.
     """
     keys = list(caps)
     left = durable(df.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))), "undecided")
     taken: list[DataFrame] = []
     used: dict[str, DataFrame] = {}
     while not left.isEmpty():
-        sure = F.lit(True)
+        now = left
         for k in keys:
             place = F.row_number().over(Window.partitionBy(k).orderBy(*order))
-            left = left.withColumn(f"_place_{k}", place)
-            sure = sure & (F.col(f"_place_{k}") + F.coalesce(F.col(f"_used_{k}") if k in used else F.lit(0), F.lit(0)) <= caps[k])
-        marked = durable(left.withColumn("_sure", sure), "marked")
-        now = marked.where("_sure").select(*df.columns)
+            first = left.select(k, *[c for c in order if c != k]).withColumn("_place", place).where(F.col("_place") <= caps[k])
+            if k in used:
+                first = first.join(used[k], k, "left").where(F.col("_place") + F.coalesce("_c", F.lit(0)) <= caps[k]).drop("_c")
+            now = now.join(first.select(*order), order, "left_semi")
+        now = durable(now, "taken")
         taken.append(now)
-        rest = marked.where("not _sure").select(*df.columns)
+        rest = left.join(now.select(*order), order, "left_anti")
         for k in keys:
             count = now.groupBy(k).agg(F.count("*").alias("_c"))
             if k in used:
                 count = used[k].unionAll(count).groupBy(k).agg(F.sum("_c").alias("_c"))
             used[k] = durable(count, "used")
-            rest = rest.join(used[k].withColumnRenamed("_c", f"_used_{k}"), k, "left").where(F.coalesce(f"_used_{k}", F.lit(0)) < caps[k])
-        left = durable(rest, "undecided")
+            rest = rest.join(used[k].where(F.col("_c") >= caps[k]).select(k), k, "left_anti")
+        left = durable(rest.select(*df.columns), "undecided")
     return reduce(DataFrame.unionAll, taken) if taken else df.limit(0)
 
 
