@@ -92,3 +92,23 @@ def prompt_rows(df: DataFrame, dataset: str, split: Column) -> DataFrame:
     stdin = F.lit(False) if dataset != "apps" else F.coalesce(F.get_json_object(tests, "$.fn_name").isNull(), F.lit(True))
     row_id = F.concat(F.lit(f"{dataset}/"), split, F.lit("/"), get("id").cast("string"))
     return df.select(row_id.alias("id"), F.lit(dataset).alias("dataset"), split.alias("split"), F.when(stdin, "stdin_stdout").otherwise("function_call").alias("io_mode"), prompt(X.strip(get("task").cast("string")), stdin=stdin).alias("prompt"), get("solution").alias("solution"), tests.alias("tests"))
+
+
+def judge_prompt(task: Column, code: Column, task_chars: int, code_chars: int, answer_first: bool = True) -> Column:
+    """A request for a verdict on one answer, with both texts clipped."""
+    order = "State PASS or FAIL first, then the reason." if answer_first else "Give the reason first, then PASS or FAIL."
+    return F.concat(F.lit("Judge whether the program solves the task.\n" + order + "\n\nTask:\n"), X.clipped(task, task_chars, "\n[TRUNCATED]"), F.lit("\n\nProgram:\n"), X.clipped(code, code_chars, "\n[TRUNCATED]"), F.lit("\n"))
+
+
+def judge_completion(passed: Column, reason: Column, answer_first: bool = True) -> Column:
+    """The answer to ``judge_prompt``."""
+    word, why = F.when(F.coalesce(passed, F.lit(False)), "PASS").otherwise("FAIL"), X.collapsed(F.coalesce(reason, F.lit("no reason recorded")))
+    return F.concat(F.lit("Verdict: "), word, F.lit("\nReason: "), why) if answer_first else F.concat(F.lit("Reason: "), why, F.lit("\nVerdict: "), word)
+
+
+def feedback(function: Column, results: Column, most: int) -> Column:
+    """What failed cases say, one line each: results are structs (index, passed, error), the first ``most`` failures are shown."""
+    failed = F.filter(results, lambda r: ~F.coalesce(r["passed"], F.lit(False)))
+    lines = F.transform(F.slice(failed, 1, most), lambda r: F.concat(F.lit("- case "), (r["index"] + 1).cast("string"), F.lit(": "), F.coalesce(r["error"], F.lit("wrong result"))))
+    head = F.concat(F.lit("Cases of "), F.coalesce(function, F.lit("the program")), F.lit(" that fail: "), F.size(failed).cast("string"))
+    return F.when(F.size(failed) > 0, F.array_join(F.concat(F.array(head), lines), "\n"))

@@ -7,8 +7,8 @@ import os
 from pyspark.sql import functions as F
 
 from lodestack.functions import jsonfn as N, pyast as Y, stats as X, text as T
-from lodestack.operators import execute as E, judging as JU, paired, projections as P, rubric as B, taxonomy as L, tokens as K
-from lodestack.plans.tables import FAILURES, PROBLEMS, RESPONSES, SFT, judgments, once, problems, responses, table
+from lodestack.operators import documents as D, execute as E, judging as JU, paired, projections as P, rubric as B, taxonomy as L, tokens as K
+from lodestack.plans.tables import FAILURES, JUDGMENTS, PROBLEMS, RESPONSES, SFT, judgments, once, problems, responses, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -279,3 +279,42 @@ def bootstrap_auc(spark, d):
     from lodestack.plans.q_metrics import _judged
 
     return paired.bootstrap_auc_difference(_judged(spark, d, "semantic_bottleneck_score"), F.col("passed"), F.col("overall_score"), F.col("semantic_bottleneck_score"), 0.0, 5.0)
+
+
+_CLIP = lambda c, n: f"substr(trim({c}, chr(10) || chr(13) || chr(9) || ' '), 1, {n}) || case when length(trim({c}, chr(10) || chr(13) || chr(9) || ' ')) > {n} then chr(10) || '[TRUNCATED]' else '' end"
+
+
+@query(f"""select r.response_id, md5('Judge whether the program solves the task.' || chr(10) || 'State PASS or FAIL first, then the reason.' || chr(10) || chr(10) || 'Task:' || chr(10) || {_CLIP("p.prompt", 300)} || chr(10) || chr(10) || 'Program:' || chr(10)
+ || {_CLIP("coalesce(r.extracted_code, '')", 400)} || chr(10)) as prompt_md5, 'Verdict: ' || case when coalesce(r.passed, false) then 'PASS' else 'FAIL' end || chr(10) || 'Reason: ' || coalesce(trim(regexp_replace(r.error, '\\s+', ' ', 'g')), 'no reason recorded') as completion
+ from {RESPONSES} r join {PROBLEMS} p on r.id = p.id where r.split = 'test'""")
+def judge_pairs(spark, d):
+    r = responses(spark, d, "id", "split", "passed", "error", "extracted_code").where("split = 'test'").join(problems(spark, d, "prompt"), "id")
+    return r.select("response_id", F.md5(P.judge_prompt(F.col("prompt"), F.col("extracted_code"), 300, 400)).alias("prompt_md5"), P.judge_completion(F.col("passed"), F.col("error")).alias("completion"))
+
+
+@query(f"""with j as (select response_id, list_sort(list_transform(list_filter(map_entries(dimension_scores), lambda e: coalesce(e.value.applicable, false) and coalesce(e.value.score < 3, false)), lambda e: e.key)) as low from {JUDGMENTS} where predicted_pass)
+ select r.response_id, array_to_string(low, ',') as low from {RESPONSES} r join j on r.response_id = j.response_id where not coalesce(r.passed, false) and len(low) > 0""")
+def false_positive_cases(spark, d):
+    j = judgments(spark, d, "predicted_pass", "dimension_scores").where("predicted_pass").select("response_id", D.low_dimensions(F.col("dimension_scores"), 3).alias("low"))
+    failed = responses(spark, d, "passed").where(~F.coalesce("passed", F.lit(False))).select("response_id")
+    return failed.join(j, "response_id").where(F.size("low") > 0).select("response_id", F.array_join("low", ",").alias("low"))
+
+
+_NAMES = {"off_by_one": "Boundary slip", "empty_input": "Boundary slip", "wrong_formula": "Arithmetic", "missing_return": "Structure"}
+
+
+@query(f"""with n as (select f.response_id, coalesce(trim(regexp_replace(lower(c.category), '[^a-z0-9]+', '_', 'g'), '_'), 'other') as category from {FAILURES} f left join (values {', '.join(f'({k!r}, {v!r})' for k, v in _NAMES.items())}) as c(pattern, category) on f.error_pattern = c.pattern),
+ k as (select category from n where category <> 'other' group by 1 order by count(*) desc, category limit 2) select coalesce(k.category, 'other') as category, count(*) as rows from n left join k on n.category = k.category group by 1""")
+def consolidated_categories(spark, d):
+    names = spark.createDataFrame(list(_NAMES.items()), "cluster string, category string")
+    rows = D.consolidated(once(spark, d, "failures", "response_id", "error_pattern"), "error_pattern", names, "other", 3)
+    return rows.groupBy("category").agg(F.count("*").alias("rows"))
+
+
+@query()
+def rubric_document(spark, d):
+    """The rubric that the failures' patterns give, a row a dimension."""
+    rows = once(spark, d, "failures", "response_id", "id", "error_pattern").groupBy(F.coalesce("error_pattern", F.lit("unknown")).alias("category")).agg(F.count("*").alias("rows"), F.count_distinct("id").alias("tasks"))
+    doc = D.rubric(rows)
+    critical = set(doc["aggregation"]["critical"])
+    return spark.createDataFrame([(x["id"], x["weight"], x["evidence"]["failures"], x["id"] in critical) for x in doc["dimensions"]], "dimension string, weight double, failures long, critical boolean")

@@ -195,3 +195,26 @@ def test_prompt_rows(spark):
     assert rows["apps/train/1"].io_mode == "function_call" and rows["apps/train/2"].io_mode == rows["apps/train/3"].io_mode == "stdin_stdout"
     assert "Read standard input" in rows["apps/train/2"].prompt and rows["apps/train/1"].prompt.endswith("Task:\nAdd.")
     assert R.prompt_rows(apps.limit(0), "apps", F.lit("t")).count() == 0
+
+
+def test_documents(spark):
+    from lodestack.operators import documents as D
+
+    rows = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", "y"), ("4", "z"), ("5", None)], "id string, c string")
+    names = spark.createDataFrame([("x", "Big One"), ("y", "small"), ("q", "unused")], "cluster string, category string")
+    got = {r.id: r.category for r in D.consolidated(rows, "c", names, "other", 2).collect()}
+    assert got == {"1": "big_one", "2": "big_one", "3": "other", "4": "other", "5": "other"}
+    assert {r.cluster: (r.mapped, r.used) for r in D.coverage(rows, "c", names).collect()} == {"x": (True, True), "y": (True, True), "z": (False, True), "q": (True, False)}
+    cats = spark.createDataFrame([("a", 3, 2), ("b", 1, 1)], "category string, rows long, tasks long")
+    doc = D.rubric(cats)
+    assert D.rubric_problems(doc) == [] and doc["aggregation"]["critical"] == ["a", "b"] and doc["dimensions"][0]["weight"] == 0.75
+    assert D.rubric_problems(D.rubric(cats.limit(0))) == ["no_dimensions"]
+    assert "## 1" in D.packet(rows, "id", ["c"], ["l"]) and D.packet(rows, "id", ["c"], ["l"]).count("Label: ") == 5
+
+
+def test_feedback(spark):
+    from lodestack.operators import projections as R
+
+    row = spark.sql("select array(named_struct('index', 0, 'passed', true, 'error', null), named_struct('index', 1, 'passed', false, 'error', 'KeyError'), named_struct('index', 2, 'passed', null, 'error', null)) r, slice(array(named_struct('index', 0, 'passed', true, 'error', 'x')), 1, 1) g")
+    out = row.select(R.feedback(F.lit("f"), F.col("r"), 1), R.feedback(F.lit("f"), F.col("g"), 1)).first()
+    assert out[0] == "Cases of f that fail: 2\n- case 2: KeyError" and out[1] is None
