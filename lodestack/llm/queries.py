@@ -154,3 +154,26 @@ SQL = {
     "torn as (select root, min(g.id) as group_id from g join r using (id) group by 1 having count(distinct e) > 1) select id, group_id from g join torn using (root)",
     "p8_found": "select doc_id from documents where octet_length(encode(coalesce(text, ''))) + 1 > 4096",
 }
+
+_P1, _P4 = SQL["p1_found"], SQL["p4_found"]
+_REACH = "link as (select ka as x, kb as y from pair union select kb, ka from pair), reach as (select x, y from link union select reach.x, link.y from reach join link on reach.y = link.x)"
+
+SQL["p1_groups"] = (
+    "with recursive pair as (select response_id_a as ka, response_id_b as kb from (" + _P1 + ")), " + _REACH + ", "
+    "w as (select response_id as k, any_value(" + _WORDS.format("extracted_code", r"|[^\p{L}\p{N}_\s]") + ") as w from responses where trim(extracted_code) <> '' group by 1), "
+    "s as (select k, md5(array_to_string(list_sort(list(distinct w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2])), chr(2))) as h from (select k, w, unnest(range(1, len(w) - 1)) as i from w) group by k), "
+    "r as (select k, min(k) over (partition by h) as rep from s), "
+    "n as (select a.rep as rep, count(distinct b.rep) as links from link join r a on link.x = a.k join r b on link.y = b.k where a.rep <> b.rep group by 1), "
+    "g as (select x as k, min(y) as root from reach group by 1) "
+    "select r.k as response_id, coalesce(least(g.root, r.k), r.k) as group_id, coalesce(n.links, 0) as links from r left join g on g.k = r.k left join n on n.rep = r.rep"
+)
+SQL["p4_counts"] = (
+    "with f as (" + _P4.replace("least(ka, kb) as id_a, greatest(ka, kb) as id_b", "ka, kb") + "), p as (select id, min(lower(trim(eval_split))) as eval_split, min(dataset) as dataset from problems where id is not null group by 1) "
+    "select e.eval_split, e.dataset as eval_dataset, t.dataset as train_dataset, count(*) as pairs from f join p e on e.id = ka join p t on t.id = kb group by all"
+)
+SQL["p7_found"] = (
+    "with recursive w as (select response_id as k, any_value(list_distinct(regexp_extract_all(lower(coalesce(nullif(regexp_extract(llm_summary, '\"summary\"\\s*:\\s*\"((?:[^\"\\\\]|\\\\.)*)', 1), ''), llm_summary)), '[\\p{L}\\p{N}_]+'))) as w from failures where llm_summary is not null group by 1), "
+    "c as (select k, list_filter(w, lambda x: not list_contains(string_split('" + clusters.COMMON_WORDS + "', ' '), x)) as w from w), s as (select k, len(w) as n, unnest(w) as t from c), "
+    "pair as (select a.k as ka, b.k as kb from s a join s b on a.t = b.t and a.k < b.k group by a.k, b.k having count(*) >= ceil(0.6 * max(greatest(a.n, b.n)) - 1e-9)), " + _REACH + " "
+    "select x as response_id, min(y) as cluster_id from reach group by 1"
+)
