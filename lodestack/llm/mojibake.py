@@ -87,6 +87,7 @@ def _weight(c: str) -> float:
     return 4.0 if not 0x2500 <= o < 0x2600 else 5.0
 
 
+_LOST = re.compile(rb"\xd0(?![\x80-\xbf])")
 _weights: dict[str, float] = {}
 _LONG_LATIN = re.compile(r"[À-ÖØ-öø-ÿ]{3,}")
 _CASE = re.compile(r"[а-яё][А-ЯЁ]")
@@ -107,8 +108,16 @@ def cost(text: str) -> float:
 
 def _reread(text: str, legacy: str, intended: str) -> str | None:
     try:
-        return text.translate(_bytes[legacy]).encode("latin-1").decode(intended)
-    except (UnicodeEncodeError, UnicodeDecodeError):
+        raw = text.translate(_bytes[legacy]).encode("latin-1")
+        return raw.decode(intended)
+    except UnicodeEncodeError:
+        return None
+    except UnicodeDecodeError:
+        if (legacy, intended) != ("cp1251", "utf-8"):
+            return None
+    try:  # 0x98 has no character there and is often lost; after 0xD0 nothing else can be missing
+        return _LOST.sub(b"\xd0\x98", raw).decode(intended)
+    except UnicodeDecodeError:
         return None
 
 
