@@ -140,7 +140,7 @@ RUNTIME_ERRORS = ("NameError", "TypeError", "AttributeError", "IndexError", "Key
 
 
 def error_pattern(failure: Column, error: Column, code: Column, raw: Column) -> Column:
-    """The rule bucket of a failed response."""
+    """The rule bucket of a failed response; the buckets' names are fixed values."""
     e, f = F.lower(F.coalesce(error, F.lit(""))), F.coalesce(failure, F.lit("unknown"))
     bad = e.contains("invalid syntax")
     syntax = (

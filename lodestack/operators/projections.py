@@ -56,7 +56,7 @@ def chat(prompt_: Column, style: str) -> Column:
 
 
 def revision(findings: Column, code: Column) -> Column:
-    """A critic's answer from findings and code."""
+    """A critic's answer from findings and code; its two headings are a fixed format."""
     return F.concat(F.lit("ERROR_FINDINGS:\n"), F.array_join(F.transform(findings, lambda f: F.concat(F.lit("- "), f)), "\n"), F.lit("\nREVISED_CODE:\n"), X.strip(code))
 
 

@@ -158,7 +158,7 @@ def _repairs(spark, d):
     return both.withColumn("chars", F.length("code")).withColumn("o_chars", F.length("o_code"))
 
 
-#: Gates in order, as expressions that Spark and the check both read; the cap comes between the two lists.
+#: The reasons' names and their order.  The gates are expressions that Spark and the SQL both read; the cap comes between the two lists.
 EARLY = [("repair_failed_verifier", "not coalesce(passed, false)"), ("missing_problem_id", "id is null or id = ''"), ("forbidden_problem_id", "f_id is not null")]
 LATE = [
     ("missing_original", "o_response_id is null"), ("original_problem_mismatch", "o_id is null or o_id <> id"), ("non_train_split", "coalesce(o_split, '') <> 'train' or coalesce(split, '') <> 'train'"),
