@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lodestack.durable import discard, durable
 
 #: Neighbours kept a node, sorted orders to start from, neighbours taken from each, rounds of descent, share of changed lists that ends it.
-NEIGHBOURS, ORDERS, NEAR, ROUNDS, STILL = 12, 6, 4, 6, 0.001
+NEIGHBOURS, ORDERS, NEAR, ROUNDS, STILL = 12, 24, 4, 6, 0.001
 #: Common words that a link needs, as a share of the larger set.
 AGREE = 0.6
 LEVELS, MOVES = 4, 10
@@ -52,14 +52,16 @@ def _common(a: str, b: str) -> Column:
 
 
 def _sorted_neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links of every row to the NEAR rows before it in the partition's order."""
+    """Links of every row to the NEAR rows before it in the same order."""
     last: list = []
+    current = None
     for pdf in batches:
         a, b, at, bt = [], [], [], []
-        for node, toks in zip(pdf["node"], pdf["toks"]):
+        for k, node, toks in zip(pdf["k"], pdf["node"], pdf["toks"]):
+            if k != current:
+                current, last = k, []
             for other, others in last:
-                if other != node:
-                    a.append(node), b.append(other), at.append(toks), bt.append(others)
+                a.append(node), b.append(other), at.append(toks), bt.append(others)
             last = [*last[-(NEAR - 1) :], (node, toks)]
         yield pd.DataFrame({"v": a, "u": b, "vt": at, "ut": bt})
 
@@ -77,12 +79,11 @@ def _both(links: DataFrame) -> DataFrame:
 def neighbour_graph(nodes: DataFrame) -> DataFrame:
     """(v, u, vt, ut, s): approximate nearest neighbours of (node, toks) by common words."""
     schema = "v long, u long, vt array<long>, ut array<long>"
-    start = None
-    for k in range(ORDERS):
-        low = F.array_sort(F.transform("toks", lambda t: F.xxhash64(t, F.lit(k))))
-        part = nodes.withColumn("o", F.slice(low, 1, 3)).repartitionByRange("o", "node").sortWithinPartitions("o", "node").select("node", "toks").mapInPandas(_sorted_neighbours, schema)
-        start = part if start is None else start.unionAll(part)
-    links = start.withColumn("s", _common("vt", "ut")).where("s > 0")
+    each = nodes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))))
+    low = each.withColumn("o", F.slice(F.array_sort(F.transform("toks", lambda t: F.xxhash64(t, F.col("k")))), 1, 3))
+    # places in all orders are sorted at once; only rows at the edges of partitions lose a neighbour
+    start = low.repartitionByRange("k", "o", "node").sortWithinPartitions("k", "o", "node").select("k", "node", "toks").mapInPandas(_sorted_neighbours, schema)
+    links = start.dropDuplicates(["v", "u"]).withColumn("s", _common("vt", "ut")).where("s > 1")
     graph = durable(_best(_both(links)), "neighbours")
     total = graph.count()
     for _ in range(ROUNDS):
