@@ -292,6 +292,17 @@ def judge_pairs(spark, d):
     return r.select("response_id", F.md5(P.judge_prompt(F.col("prompt"), F.col("extracted_code"), 300, 400)).alias("prompt_md5"), P.judge_completion(F.col("passed"), F.col("error")).alias("completion"))
 
 
+#: The reference's limits of the task and of the program, in characters.
+TASK_CHARS, CODE_CHARS = 4500, 4500
+
+
+@query(SQL["judge_pairs"].replace(_CLIP("p.prompt", 300), _CLIP("p.prompt", TASK_CHARS)).replace(_CLIP("coalesce(r.extracted_code, '')", 400), _CLIP("coalesce(r.extracted_code, '')", CODE_CHARS)))
+def judge_pairs_full(spark, d):
+    """``judge_pairs`` with the reference's limits."""
+    r = responses(spark, d, "id", "split", "passed", "error", "extracted_code").where("split = 'test'").join(problems(spark, d, "prompt"), "id")
+    return r.select("response_id", F.md5(P.judge_prompt(F.col("prompt"), F.col("extracted_code"), TASK_CHARS, CODE_CHARS)).alias("prompt_md5"), P.judge_completion(F.col("passed"), F.col("error")).alias("completion"))
+
+
 @query(f"""with j as (select response_id, list_sort(list_transform(list_filter(map_entries(dimension_scores), lambda e: coalesce(e.value.applicable, false) and coalesce(e.value.score < 3, false)), lambda e: e.key)) as low from {JUDGMENTS} where predicted_pass)
  select r.response_id, array_to_string(low, ',') as low from {RESPONSES} r join j on r.response_id = j.response_id where not coalesce(r.passed, false) and len(low) > 0""")
 def false_positive_cases(spark, d):
