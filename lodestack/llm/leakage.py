@@ -1,15 +1,20 @@
 """Problem 9: evaluation texts leaking into training text, by greedy string tiling.
 
-Items are cut into seeds of SEED words; seeds that more than SEED_ITEMS items
-share, and lines that do, say nothing about one item.  Documents meet items on
-shared seeds: item seeds go to the workers as a fixed-size bitmap and a sorted
-table, in blocks of ITEM_BLOCK items, so what is sent never grows with the
-items.  A pair whose seeds lie on few diagonals is tiled: running Karp-Rabin
-hashes of shrinking width find the longest unmarked common runs, which are
-marked, longest first, until none of MIN_TILE words is left.  An item counts
-as leaked by one tile of RUN words, or by tiles that follow one another with
-single changed words between them over ORDERED words; the coverage of all
-tiles, which also catches reordered passages, is reported.
+Items are cut into seeds of SEED words; lines that many items share say nothing
+about one item and are left out, and items with equal words are one entry with
+several keys.  Documents meet items on every shared seed: item seeds go to the
+workers as a fixed-size bitmap and a sorted table, in blocks of ITEM_BLOCK
+entries, so what is sent never grows with the items, and no result depends on
+the other items of a block.  Seeds that follow one another on a diagonal form a
+run.  RUN words are a leak at once; a shorter run is dropped if no chain goes on
+at either end, and what is left is aligned in a band of diagonals around it: an
+item also counts as leaked by ORDERED successive words of it in which any words
+but never two in succession are changed, dropped or added.  A chain without
+any SEED intact words in succession isn't met, which needs ten changes or more
+in ORDERED words.  Leaked pairs are tiled: running Karp-Rabin hashes of shrinking
+width find the longest unmarked common runs, which are marked, longest first,
+until none of MIN_TILE words is left; the coverage of all tiles, which also
+catches reordered passages, is reported.
 
 Defined results: null and empty texts match nothing; items shorter than SEED
 words match nothing; items with equal texts all match; repeated keys give one
@@ -27,8 +32,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from lodestack.llm import grams as G
 
-SEED, SEED_ITEMS, MIN_TILE, RUN, ORDERED = 5, 3, 3, 20, 50
+SEED, MIN_TILE, RUN, ORDERED = 5, 3, 20, 50
 ITEM_BLOCK = 5_000
+#: Diagonals a chain may move away from its run of seeds, and pairs aligned at a time.
+DRIFT, PAIRS = 16, 512
 #: Items that share a line (as a share of all, and at least so many) make it an instruction line.
 LINE_SHARE, LINE_ITEMS = 0.02, 4
 _MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|\\(?=[_*])")
@@ -40,40 +47,53 @@ def plain(text: str | None) -> str:
 
 
 def without_shared_lines(items: DataFrame, key: str, text: str) -> list[tuple]:
-    """(key, text) of each item without instruction lines.  Items are a test set: they fit the driver, block by block."""
+    """(key, text) of each item without instruction lines; items with equal texts count once.  Items are a test set: they fit the driver, block by block."""
     rows = items.select(key, text).where(F.col(text).isNotNull()).distinct()
-    lines = rows.select(F.col(key), F.explode(F.array_distinct(F.transform(F.split(text, "\n"), F.trim))).alias("line")).where("line <> ''")
-    n = rows.count()
+    texts = rows.select(text).distinct()
+    lines = texts.select(F.explode(F.array_distinct(F.transform(F.split(text, "\n"), F.trim))).alias("line")).where("line <> ''")
+    n = texts.count()
     shared = {r[0] for r in lines.groupBy("line").count().where(F.col("count") >= max(LINE_ITEMS, LINE_SHARE * n)).select("line").collect()}
     return [(r[0], "\n".join(x for x in r[1].split("\n") if x.strip() not in shared)) for r in rows.toLocalIterator()]
 
 
+def collapsed(items: list[tuple]) -> list[tuple[list, str]]:
+    """(keys, text): items with equal words are one entry."""
+    out: dict[str, tuple[list, str]] = {}
+    for k, t in items:
+        out.setdefault(" ".join(_WORD.findall(plain(t))), ([], t))[0].append(k)
+    return list(out.values())
+
+
 class ItemIndex:
-    """Seeds of a block of items."""
+    """Seeds of a block of items, given as (keys, text)."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple[list, str]]):
         self.keys = [k for k, _ in items]
         ids, counts = G.token_ids([plain(t) for _, t in items], _WORD)
-        self.words = np.split(ids, np.cumsum(counts)[:-1])
+        self.ids, self.counts, self.starts = ids, counts, np.cumsum(counts) - counts
         h, own, pos = G.grams(ids, counts, SEED)
-        u, inverse = np.unique(h, return_inverse=True)
-        pairs = np.unique(np.stack([inverse, own]), axis=1)
-        rare = np.bincount(pairs[0], minlength=len(u)) <= SEED_ITEMS
-        keep = rare[inverse] if len(h) else np.zeros(0, dtype=bool)
-        order = np.argsort(h[keep], kind="stable")
-        self.h, self.own, self.pos = h[keep][order], own[keep][order], pos[keep][order]
+        order = np.argsort(h, kind="stable")
+        self.h, self.own, self.pos = h[order], own[order], pos[order]
         self.bitmap = np.zeros(1 << 20, dtype=bool)
         self.bitmap[(self.h >> np.uint64(44)).astype(np.int64)] = True
 
-    def meet(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, diagonal) of every shared seed."""
+    def meet(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, diagonal, length in words) and the place in the item of every run of shared seeds."""
         h, own, pos = G.grams(ids, counts, SEED)
         hit = self.bitmap[(h >> np.uint64(44)).astype(np.int64)]
         h, own, pos = h[hit], own[hit], pos[hit]
         lo, hi = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
         n = hi - lo
         at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(own, n), self.own[at], np.repeat(pos, n) - self.pos[at]
+        doc, item, place = np.repeat(own, n), self.own[at], self.pos[at]
+        diagonal = np.repeat(pos, n) - place
+        order = np.lexsort((place, diagonal, item, doc))
+        doc, item, diagonal, place = doc[order], item[order], diagonal[order], place[order]
+        first = np.ones(len(doc), dtype=bool)
+        first[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) != 0) | (np.diff(place) != 1)
+        begin = np.flatnonzero(first)
+        length = np.diff(np.append(begin, len(doc))) + SEED - 1
+        return doc[begin], item[begin], diagonal[begin], place[begin], length
 
 
 def _runs(ids: np.ndarray, free: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,29 +151,50 @@ def chained(found: list[tuple[int, int, int]]) -> int:
     return best
 
 
-def _likely(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> bool:
-    """Whether some diagonal has a run of nearly RUN words, or nearly ORDERED with single changes."""
-    for d in np.unique(diagonals).tolist():
-        i, j = max(0, -d), max(0, d)
-        n = min(len(a) - i, len(b) - j)
-        if n < RUN // 2:
-            continue
-        same = a[i : i + n] == b[j : j + n]
-        breaks = np.flatnonzero(~same)
-        edges = np.concatenate([[-1], breaks, [n]])
-        if np.diff(edges).max() - 1 >= RUN - 6:
-            return True
-        twice = np.flatnonzero(np.diff(breaks) == 1)
-        ends = np.concatenate([[-1], breaks[twice], [n]])
-        if np.diff(ends).max() - 1 >= ORDERED // 2:
-            return True
-    return False
+def _goes_on(word_a, word_b, x: np.ndarray, y: np.ndarray, step: int) -> np.ndarray:
+    """Whether a chain can go on past the last common words x and y of a run, by one change, in the direction of ``step``; also when it leaves the run a word early."""
+    a, b = [word_a(x + step * k) for k in range(3)], [word_b(y + step * k) for k in range(3)]
+    return (a[2] == b[2]) | (a[2] == b[1]) | (a[1] == b[2]) | (a[1] == b[0]) | (a[0] == b[1])
+
+
+def aligned(a: list[np.ndarray], b: list[np.ndarray], low: np.ndarray, width: int) -> np.ndarray:
+    """For many pairs at once, the most successive words of ``a`` in order in ``b`` with isolated changes, over the diagonals from ``low`` on; 0 if two successive words without a partner on these diagonals rule ORDERED out."""
+    n = max(map(len, a))
+    left, right = np.zeros((len(a), n), dtype=np.uint64), np.ones((len(a), n + width), dtype=np.uint64)
+    for i, (x, y, d) in enumerate(zip(a, b, low.tolist())):
+        left[i, : len(x)] = x
+        part, at = y[max(0, d) : max(0, d + n + width)], max(0, -d)
+        part = part[: n + width - at]
+        right[i, at : at + len(part)] = part
+    same = left[:, :, None] == np.lib.stride_tricks.sliding_window_view(right, width, axis=1)[:, :n]
+    missing = ~same.any(axis=2)
+    twice = np.zeros((len(a), n), dtype=bool)
+    twice[:, 1:] = missing[:, 1:] & missing[:, :-1]
+    places = np.arange(n)
+    last = np.maximum.accumulate(np.where(twice, places, -1), axis=1)  # a chain may begin and end beside a changed word
+    some = np.flatnonzero((places - last + 1).max(axis=1) >= ORDERED)
+    out = np.zeros(len(a), dtype=np.int16)
+    if not len(some):
+        return out
+    same = same[some]
+    best, one = np.zeros(len(some), dtype=np.int16), np.zeros((len(some), width + 2), dtype=np.int16)  # a column at each side that stays 0
+    two = one
+    for x in range(n):
+        # after the word before or a word that b adds; after a word that is changed or that b drops
+        changed = np.maximum(two[:, 1:-1], two[:, 2:])
+        longest = np.maximum(np.maximum(one[:, 1:-1], one[:, :-2]) + 1, np.where(changed > 0, changed + 2, 0))
+        new = np.zeros_like(one)
+        new[:, 1:-1] = longest * same[:, x]
+        np.maximum(best, new.max(axis=1), out=best)
+        one, two = new, one
+    out[some] = best
+    return out
 
 
 def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(key, item, longest, ordered, coverage) of every document that contains an item's passage."""
     spark = docs.sparkSession
-    listed = without_shared_lines(items, item_key, item_text)
+    listed = collapsed(without_shared_lines(items, item_key, item_text))
     kinds = dict(docs.select(F.col(key).alias("key")).dtypes) | dict(items.select(F.col(item_key).alias("item")).dtypes)
     schema = f"key {kinds['key']}, item {kinds['item']}, longest int, ordered int, coverage double"
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
@@ -165,36 +206,59 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     return out.dropDuplicates(["key", "item"])
 
 
+def _leaked(index: ItemIndex, ids: np.ndarray, counts: np.ndarray) -> dict[tuple[int, int], int]:
+    """The pairs (text, item) that are leaks, with their words in order by alignment."""
+    starts = np.cumsum(counts) - counts
+    doc, item, diagonal, place, length = index.meet(ids, counts)
+    if not len(doc):
+        return {}
+
+    def words(all_: np.ndarray, start: np.ndarray, size: np.ndarray, none: int):
+        def get(at: np.ndarray) -> np.ndarray:
+            inside = (at >= 0) & (at < size)
+            return np.where(inside, all_[np.where(inside, start + at, 0)], np.uint64(none))
+
+        return get
+
+    word_a, word_b = words(index.ids, index.starts[item], index.counts[item], 0), words(ids, starts[doc], counts[doc], 1)
+    x, y = place, place + diagonal
+    ends = _goes_on(word_a, word_b, x + length - 1, y + length - 1, 1) | _goes_on(word_a, word_b, x, y, -1)
+    long = length >= RUN
+    room = (index.counts[item] >= ORDERED) & (counts[doc] >= ORDERED // 2)
+    out = {(d, i): 0 for d, i in zip(doc[long].tolist(), item[long].tolist())}
+    keep = long | ((ends | (length >= ORDERED)) & room)
+    tasks = np.unique(np.stack([doc[keep], item[keep], diagonal[keep] // DRIFT]), axis=1)
+    order = np.argsort(index.counts[tasks[1]], kind="stable")  # items of one length go together
+    for k in range(0, len(order), PAIRS):
+        d, i, band = tasks[:, order[k : k + PAIRS]]
+        a = [index.ids[index.starts[j] : index.starts[j] + index.counts[j]] for j in i.tolist()]
+        b = [ids[starts[j] : starts[j] + counts[j]] for j in d.tolist()]
+        for pair, n in zip(zip(d.tolist(), i.tolist()), aligned(a, b, (band - 1) * DRIFT, 3 * DRIFT).tolist()):
+            if n >= ORDERED or pair in out:
+                out[pair] = max(out.get(pair, 0), n)
+    return out
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = shared.value
+        step = max(1, min(1000, 1_000_000 // max(1, len(index.keys))))
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
+            for k in range(0, whole.num_rows, step):
+                batch = whole.slice(k, step)
                 keys, texts = batch.column(0), [plain(t) for t in batch.column(1).to_pylist()]
                 ids, counts = G.token_ids(texts, _WORD)
                 starts = np.cumsum(counts) - counts
-                doc, item, diagonal = index.meet(ids, counts)
-                order = np.lexsort((item, doc))
-                doc, item, diagonal = doc[order], item[order], diagonal[order]
-                cut = np.flatnonzero(np.diff(doc) | np.diff(item)) + 1 if len(doc) else np.zeros(0, dtype=np.int64)
-                bounds = np.concatenate([[0], cut, [len(doc)]]) if len(doc) else np.zeros(1, dtype=np.int64)
                 rows = []
-                for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    if hi - lo < 3:
-                        continue
-                    d, i = int(doc[lo]), int(item[lo])
-                    a, b = index.words[i], ids[starts[d] : starts[d] + counts[d]]
-                    if not _likely(a, b, diagonal[lo:hi]):
-                        continue
+                for (d, i), ordered in sorted(_leaked(index, ids, counts).items()):
+                    a, b = index.ids[index.starts[i] : index.starts[i] + index.counts[i]], ids[starts[d] : starts[d] + counts[d]]
                     found = tiles(a, b)
-                    longest, ordered = max(t[2] for t in found), chained(found)
-                    if longest >= RUN or ordered >= ORDERED:
-                        rows.append((d, i, longest, ordered, sum(t[2] for t in found) / len(a)))
+                    longest, ordered = max(t[2] for t in found), max(ordered, chained(found))
+                    rows += [(d, key, longest, ordered, sum(t[2] for t in found) / len(a)) for key in index.keys[i]]
                 at = pa.array([r[0] for r in rows], type=pa.int64())
-                named = pa.array([index.keys[r[1]] for r in rows])
+                named = pa.array([r[1] for r in rows])
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(at), named if rows else pa.array([], type=pa.int64() if not index.keys or isinstance(index.keys[0], int) else pa.string()), pa.array([r[2] for r in rows], type=pa.int32()), pa.array([r[3] for r in rows], type=pa.int32()), pa.array([r[4] for r in rows], type=pa.float64())],
+                    [keys.take(at), named if rows else pa.array([], type=pa.int64() if not index.keys or isinstance(index.keys[0][0], int) else pa.string()), pa.array([r[2] for r in rows], type=pa.int32()), pa.array([r[3] for r in rows], type=pa.int32()), pa.array([r[4] for r in rows], type=pa.float64())],
                     names=["key", "item", "longest", "ordered", "coverage"],
                 )
 

@@ -2,10 +2,12 @@
 
 import hashlib
 import os
+import random
 
 import pytest
 
 import __spark_entry__ as entry
+from lodestack.llm import leakage
 
 
 def test_judge_prompts_hold_whole_texts(spark, tmp_path):
@@ -27,3 +29,17 @@ def test_judge_pairs_full_agrees_with_sql(spark):
     want = sorted(map(str, c.sql(entry.oracle_sql()["judge_pairs_full"]).fetchall()))
     got = sorted(str((r.response_id, r.prompt_md5, r.completion)) for r in entry.queries()["judge_pairs_full"](spark, d).collect())
     assert got == want and got
+
+
+def test_leaks_of_equal_items_and_of_close_or_shifted_changes(spark):
+    rng = random.Random(7)
+    passage = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    same, close, moved, many = passage(60), passage(70), passage(70), passage(60)
+    twins = [same + passage(1) for _ in range(6)]
+    items = [(i, " ".join(same)) for i in range(6)] + [(6, " ".join(close)), (7, " ".join(moved))] + [(10 + i, " ".join(w)) for i, w in enumerate(twins)] + [(20, " ".join(many))]
+    holed = [w if k % 9 not in (3, 5) else "changed" for k, w in enumerate(close)]  # one intact word between two changes
+    shifted = [x for k, w in enumerate(moved) for x in ([] if k % 14 == 13 else [w, "added"] if k % 14 == 6 else [w])]
+    docs = [(0, " ".join(passage(30) + same[10:40] + passage(30))), (1, " ".join(passage(20) + holed)), (2, " ".join(shifted + passage(20))), (3, " ".join(passage(90))), (4, " ".join(w for k in range(0, 60, 12) for w in many[k : k + 10] + passage(2)))]
+    df = spark.createDataFrame(docs, "item long, text string")
+    found = leakage.find_leaks(df, "item", "text", spark.createDataFrame(items, "key long, text string"), "key", "text").collect()
+    assert {(r.key, r.item) for r in found} == {(0, i) for i in range(6)} | {(0, 10 + i) for i in range(6)} | {(1, 6), (2, 7)}
