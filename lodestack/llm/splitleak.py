@@ -1,16 +1,15 @@
-"""Problem 4: the same or near-same records across splits, by an edit-distance segment join.
-
-An evaluation text is cut into successive segments of SEGMENT words.  A changed
-word breaks one segment and costs three runs of three words, the edge of a
-moved, added or dropped passage costs two, so two texts that agree to the
-threshold have at most k broken segments, with k from the length, for up to
-EDGES such edges.  The k+1 segments that are rarest in the training texts are
-kept, one of which must be intact, and training texts that have one at an
-allowed position are candidates.  Bitmaps of their runs bound from above what
-two texts can have in common and drop most candidates.  Candidates are verified by a banded dynamic
-programme over words.  Moved sentences cost twice their length in edits, so
-the band and the allowed shift are BAND of the longer text (all of it, to lose no reordered task); the exact
-agreement of word runs, as defined for the result, follows.
+"""Problem 4: the same or near-same records across splits, by a prefix join on runs of words.
+
+Two texts agree to the threshold t only if they share t of the distinct runs of
+WIDTH words that either has.  All runs have one order, by the number of pairs
+of texts they would bring together: runs that one side lacks come first.  Of
+a text's n runs the first n - ceil(t n) + 1 are kept, and two texts that agree
+have a kept run in common, wherever their words are changed, moved, added or
+dropped and however short they are.  Bitmaps of their runs bound from above what
+two texts can have in common and drop most candidates.  Candidates are verified
+by the exact agreement of word runs, as defined for the result; their edit
+distance comes from a banded dynamic programme over words, with BAND of the
+longer text (all of it, as moved sentences cost twice their length in edits).
 
 Defined results: texts without three words match nothing; equal texts are
 joined once and expanded to their rows in the end; repeated rows count once;
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lodestack.durable import durable
 from lodestack.llm import grams as G
 
-SEGMENT, EDGES, BAND = 6, 4, 1.0
+WIDTH, BAND = 3, 1.0
 #: Bits of a text's bitmap of runs.
 BITS = 512
 #: Lines of the prompt templates around a task; {} stands for anything.
@@ -119,27 +118,20 @@ def _verify(threshold: float):
     return run
 
 
-def _gram(words: Column, start: Column, width: int) -> Column:
-    return F.xxhash64(*(F.element_at(words, start + k) for k in range(width)))
+def _runs(texts: DataFrame) -> DataFrame:
+    """(text_id, n, run): the n distinct runs of a text."""
+    gram = lambda i: F.xxhash64(*(F.element_at("words", i + k) for k in range(WIDTH)))
+    fit = texts.where(F.size("words") >= WIDTH)
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - WIDTH + 1), gram))
+    return fit.select("text_id", runs.alias("runs")).select("text_id", F.size("runs").alias("n"), F.explode("runs").alias("run"))
 
 
-def _gram(words: Column, start: Column) -> Column:
-    return F.xxhash64(*(F.element_at(words, start + k) for k in range(SEGMENT)))
-
-
-def _segments(words: Column) -> Column:
-    """The successive segments of a text, as (segment, position)."""
-    n = F.floor(F.size(words) / SEGMENT).cast("int")
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(_gram(words, (i - 1) * SEGMENT + 1).alias("segment"), ((i - 1) * SEGMENT).alias("at")))
-
-
-def _substrings(words: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(words) - SEGMENT + 1), lambda i: F.struct(_gram(words, i).alias("segment"), (i - 1).alias("at")))
-
-
-def _cut(texts: DataFrame, f) -> DataFrame:
-    fit = texts.where(F.size("words") >= SEGMENT)
-    return fit.select("text_id", F.size("words").alias("n"), F.explode(f(F.col("words"))).alias("s")).select("text_id", "n", "s.segment", "s.at")
+def _kept(runs: DataFrame, shared: DataFrame, threshold: float) -> DataFrame:
+    """(text_id, n, run) of the runs that are first in the order; those that one side lacks come before all others and meet nothing."""
+    own = Window.partitionBy("text_id")  # a text's own runs
+    rows = runs.join(shared, "run").withColumn("m", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("pairs", "run")))
+    needed = F.ceil(F.col("n") * threshold - 1e-6)
+    return rows.where((F.col("m") >= needed) & (F.col("n") - F.col("m") + F.col("rank") <= F.col("n") - needed + 1)).select("text_id", "n", "run")
 
 
 def _possible(met: DataFrame, et: DataFrame, tt: DataFrame, threshold: float) -> DataFrame:
@@ -158,25 +150,13 @@ def cross_split(evaluation: DataFrame, training: DataFrame, key: str, text: str,
     texts = lambda df: df.dropDuplicates(["text_id"]).select("text_id", "words", "runs", "bits")
     et, tt = durable(texts(ev), "texts"), durable(texts(tr), "texts")
 
-    cut, grams_ = _cut(et, _segments), _cut(tt, _substrings)
-    wanted = cut.select("segment").distinct()
-    often = grams_.join(wanted, "segment", "left_semi").groupBy("segment").agg(F.count("*").alias("often"))
-    # of the n - 2 runs at most ``lost`` are lost: two at each edge and three at each changed word, one at the text's ends
-    lost = (1 - threshold) / (1 + threshold) * (F.col("n") - 2)
-    most = F.floor(F.when(lost > 2 * EDGES, (lost - 2 * EDGES) / 3 + EDGES).otherwise(lost / 2)) + 1
-    rank = F.row_number().over(Window.partitionBy("text_id").orderBy("often", "at"))  # a text's own segments
-    keep = cut.join(often, "segment", "left").withColumn("often", F.coalesce("often", F.lit(0))).withColumn("rank", rank).where(F.col("rank") <= most + 1).where("often > 0")
-    keep = durable(keep.select("text_id", "n", "segment", "at"), "segments")
-    a, b = keep.alias("a"), grams_.alias("b")
-    longest = F.greatest("a.n", "b.n")
-    met = (
-        a.join(b, F.col("a.segment") == F.col("b.segment"))
-        .where((F.abs(F.col("a.at") - F.col("b.at")) <= F.ceil(longest * BAND)) & (F.abs(F.col("a.n") - F.col("b.n")) <= F.ceil(longest * (1 - threshold)) + 2))
-        .select(F.col("a.text_id").alias("e"), F.col("b.text_id").alias("t")).distinct()
-    )
-    # texts shorter than a segment meet only equal ones; equal texts always meet
-    same = et.select(F.col("text_id").alias("e")).join(tt.select(F.col("text_id").alias("e")), "e").select("e", F.col("e").alias("t"))
-    met = _possible(met.unionAll(same).distinct(), et, tt, threshold)
+    er, tr_ = _runs(et), _runs(tt)
+    count = lambda df, name: df.groupBy("run").agg(F.count("*").alias(name))
+    shared = durable(count(er, "en").join(count(tr_, "tn"), "run").select("run", (F.col("en") * F.col("tn")).alias("pairs")), "runs")
+    a, b = _kept(er, shared, threshold).alias("a"), _kept(tr_, shared, threshold).alias("b")
+    near = (F.col("a.n") >= F.col("b.n") * threshold - 1e-6) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-6)
+    met = a.join(b, F.col("a.run") == F.col("b.run")).where(near).select(F.col("a.text_id").alias("e"), F.col("b.text_id").alias("t")).distinct()
+    met = _possible(met, et, tt, threshold)
     both = met.join(et.select(F.col("text_id").alias("e"), F.col("words").alias("ew")), "e").join(tt.select(F.col("text_id").alias("t"), F.col("words").alias("tw")), "t")
     links = both.mapInPandas(_verify(threshold), "e long, t long, edits int, similarity double")
     return ev.select("key", "text_id").distinct(), tr.select("key", "text_id").distinct(), durable(links, "links")
