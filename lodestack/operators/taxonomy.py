@@ -7,18 +7,19 @@ import math
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover
+from pyspark.ml.linalg import DenseVector, VectorUDT
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
+from pyspark.sql import Column, DataFrame, functions as F
 
-VOCABULARY, COMPONENTS = 5000, 64
+from lodestack.durable import durable
 
+VOCABULARY, COMPONENTS = 5000, 64
 
-def term_pipeline(text: str, vocabulary: int = VOCABULARY, components: int | None = COMPONENTS) -> Pipeline:
-    """TF-IDF of words and word pairs seen twice at least, reduced to components and brought to unit length.
 
-    The reduction keeps a matrix of vocabulary x vocabulary, so the vocabulary
-    bounds the driver's memory, not the rows.
-    """
+def term_pipeline(text: str, vocabulary: int = VOCABULARY) -> Pipeline:
+    """TF-IDF of words and word pairs seen twice at least, brought to unit length."""
     stages = [
         RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[^\w]+", minTokenLength=2),
         StopWordsRemover(inputCol="_w", outputCol="_s"),
@@ -27,27 +28,44 @@ def term_pipeline(text: str, vocabulary: int = VOCABULARY, components: int | Non
         CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=vocabulary, minDF=2),
         IDF(inputCol="_tf", outputCol="_tfidf"),
     ]
-    last = "_tfidf"
-    if components:
-        stages.append(PCA(k=components, inputCol=last, outputCol="_pc"))
-        last = "_pc"
-    return Pipeline(stages=[*stages, Normalizer(inputCol=last, outputCol="features")])
+    return Pipeline(stages=[*stages, Normalizer(inputCol="_tfidf", outputCol="features")])
+
+
+def reduced(df: DataFrame, components: int) -> DataFrame:
+    """``df`` with its features on their first singular directions, at unit length.
+
+    The decomposition multiplies by the rows where they are: the driver holds a
+    few vectors of the vocabulary's length, never a matrix of its square.
+    """
+    vectors = MLUtils.convertVectorColumnsFromML(df.select("features"), "features").cache()
+    right = RowMatrix(vectors).computeSVD(components).V.toArray()
+    vectors.unpersist()
+    shared = df.sparkSession.sparkContext.broadcast(right)
+    project = F.udf(lambda v: DenseVector(v.values @ shared.value[v.indices]), VectorUDT())
+    return Normalizer(inputCol="_r", outputCol="features").transform(df.withColumn("_r", project("features")).drop("features")).drop("_r")
+
+
+def failure_text(summary: Column, failure: Column, error: Column) -> Column:
+    """What a failure is clustered by: its summary, its kind and the first 200 characters of its error."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat(blank(summary), F.lit(" [failure_type: "), F.coalesce(failure, F.lit("unknown")), F.lit("] [error: "), F.substring(blank(error), 1, 200), F.lit("]"))
 
 
 def cluster_count(n: int) -> int:
     return max(4, min(15, round(math.sqrt(n))))
 
 
-def clustered(df: DataFrame, text: str, key: str, k: int | None = None, vocabulary: int = 400, components: int = 24, seed: int = 42) -> DataFrame:
+def clustered(df: DataFrame, text: str, key: str, k: int | None = None, vocabulary: int = VOCABULARY, components: int = COMPONENTS, seed: int = 42) -> DataFrame:
     """(key, cluster): k-means over the term features; rows without text are left out."""
     rows = df.where(F.length(F.trim(text)) > 0).select(key, text)
     n = rows.count()
     if n < 2:
         return rows.select(key, F.lit(0).alias("cluster"))
-    terms = term_pipeline(text, vocabulary, None).fit(rows)
+    terms = term_pipeline(text, vocabulary).fit(rows)
     size = len(terms.stages[4].vocabulary)
-    fitted = term_pipeline(text, vocabulary, min(components, size)).fit(rows) if size > 1 else terms
-    featured = fitted.transform(rows).select(key, "features")
+    featured = durable(terms.transform(rows).select(key, "features"), "features")
+    if size > 2:
+        featured = durable(reduced(featured, min(components, size - 1, max(2, n - 1))), "reduced")
     return KMeans(k=min(k or cluster_count(n), n), seed=seed, featuresCol="features", predictionCol="cluster").fit(featured).transform(featured).select(key, "cluster")
 
 

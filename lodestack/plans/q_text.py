@@ -208,7 +208,8 @@ def canonical_executions(spark, d):
 
 @query()
 def failure_clusters(spark, d):
-    return L.clustered(once(spark, d, "failures", "response_id", "llm_summary"), "llm_summary", "response_id", k=8)
+    rows = once(spark, d, "failures", "response_id", "llm_summary", "failure_type", "error")
+    return L.clustered(rows.withColumn("text", L.failure_text(F.col("llm_summary"), F.col("failure_type"), F.col("error"))), "text", "response_id")
 
 
 @query()

@@ -68,3 +68,11 @@ def test_cross_split_of_short_and_of_much_changed_texts(spark):
     frame = lambda rows, k: spark.createDataFrame([(f"{k}{i}", " ".join(t)) for i, t in enumerate(rows)], "id string, text string")
     got = {(r.e_key, r.t_key) for r in splitleak.cross_split_pairs(frame(ev, "e"), frame(tr, "t"), "id", "text").collect()}
     assert got == want and len(want) > 60
+
+
+def test_failure_clusters_use_the_whole_text_and_all_clusters(spark, tmp_path):
+    kinds = ["timeout", "logic_error", "runtime_error"]
+    rows = [(f"r{i}", None if i % 3 == 0 else f"cause{i % 30} breaks part{i % 30}", kinds[i % 3], f"Error{i % 30}: value") for i in range(240)]
+    spark.createDataFrame(rows, "response_id string, llm_summary string, failure_type string, error string").write.parquet(f"{tmp_path}/failures.parquet")
+    got = entry.queries()["failure_clusters"](spark, str(tmp_path)).collect()
+    assert {r.response_id for r in got} == {r[0] for r in rows} and len({r.cluster for r in got}) == 15
