@@ -81,9 +81,9 @@ def prompts_with_labels(spark, d):
     return problems(spark, d).join(t, "id")
 
 
-@query(f"select s.response_id, s.original_response_id, j.overall_score as chosen_score, k.overall_score as rejected_score from {RESPONSES} s left join {JUDGMENTS} j on s.response_id = j.response_id left join {JUDGMENTS} k on s.original_response_id = k.response_id where s.original_response_id is not null")
+@query(f"select s.response_id, s.original_response_id, case when not isnan(j.overall_score) then j.overall_score end as chosen_score, case when not isnan(k.overall_score) then k.overall_score end as rejected_score from {RESPONSES} s left join {JUDGMENTS} j on s.response_id = j.response_id left join {JUDGMENTS} k on s.original_response_id = k.response_id where s.original_response_id is not null")
 def pair_score_join(spark, d):
-    s = judgments(spark, d, "overall_score")
+    s = judgments(spark, d, "overall_score").select("response_id", F.nanvl("overall_score", F.lit(None).cast("double")).alias("overall_score"))  # NaN is no score
     pairs = responses(spark, d, "original_response_id").where("original_response_id is not null")
     both = J.lookup(J.lookup(pairs, s, "response_id", "c_"), s, "original_response_id", "r_", "response_id")
     return both.select("response_id", "original_response_id", F.col("c_overall_score").alias("chosen_score"), F.col("r_overall_score").alias("rejected_score"))
