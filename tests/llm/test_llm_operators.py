@@ -77,6 +77,8 @@ CODE = "def f(a):\n    b = [a, 1]\n    for x in b:\n        a += x\n    return a
     ("def f(a):\n    return max(a, 1", True), ("def f(a):\n    return a if a >", True), ("def main():\n    print(1)\nmain()", False), ("def main():\n    print(1)", True), ("def f():\n    '''doc", True), ("def f():\n    return 'a", True),
     (CODE + "\n\nif __name__ == '__main__':\n    print(f(1))", False), ("import sys", True), ("", False), ("...", False), ("TODO", False), ("I would rather not.", False), (CODE[:40] + "<snip>", True), ("value = 1\ndef f(value):\n    return val", True), (CODE[:20] + "\ufffd", True),
     ("function f(x) {\n  return x;\n}", False), ("function f(x) {\n  return x", True), ("def f(a) )\n    return a", False),
+    ("The function reads the list twice and then forgets the last ele", True), ('{"a": [1, 2', True), ('{"a": [1, 2]}', False), ('She said "it is wrong', True), ("<div><p>text", True), ("<p>text<br></p>", False), ("The value is \\u00", True), ("```python\nreturn [1,\n```", True), ("```python\nreturn [1, 2]\n```", False),
+    ("```python\nx = 1\n```\nThen:\n```python\nfor x in", True), ("```python\nx = 1\n```\nIt works.", False), ("```python\nx = 1\n```\nIt works and (as", True), (CODE + "\n    print(f(1))", False), ("# Title", False), ("All is well, R&D.", False), ("# I would rather not.\npass", False), ("def f(x):\n    for y in x:\n        x += y\n    if x", True),
 ])
 def test_structure(text, cut):
     assert (structure.answer_end(text)[0] != "complete") is cut
