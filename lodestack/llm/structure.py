@@ -135,7 +135,7 @@ def prose_end(text: str) -> str:
         return "complete"
     s = re.sub(r"\s#+ [^\n.!?]*$", "", s)  # a comment or heading after the text
     paragraph = re.split(r"\n\s*\n", s)[-1]
-    bare = s.rstrip("\"'”’»)*_`]}>")
+    bare = s.rstrip(" \"'”’»)*_`]}>")
     if bare and bare[-1] in ".!?;。！？":
         return "complete"
     if paragraph.count('"') % 2 or paragraph.count("“") > paragraph.count("”") or paragraph.count("«") > paragraph.count("»") or paragraph.count("(") > paragraph.count(")") or bare[-1:] in ",(-–/&":
