@@ -59,3 +59,21 @@ def union(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
     return out
+
+
+def hot_joined(rows: DataFrame, lookup: DataFrame, key: str, spread: Column, how: str = "left", share: float = 1 / 64, parts: int = 16) -> DataFrame:
+    """``rows`` joined to ``lookup`` on ``key``, with hot keys dealt over several tasks.
+
+    Keys that hold more than ``share`` of the rows, of which there are fewer than
+    1 / share, get one of ``parts`` numbers by the hash of ``spread``; their rows
+    of ``lookup`` are repeated for each of them.  Null keys meet nothing.
+    """
+    total = rows.count()
+    hot = [r[0] for r in rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > share * max(total, 1)).select(key).collect()]
+    if not hot:
+        return rows.join(lookup, key, how)
+    is_hot = F.col(key).isin(hot)
+    zero = F.lit(0).cast("long")
+    left = rows.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(parts).cast("long"))).otherwise(zero))
+    right = lookup.withColumn("_part", F.explode(F.when(is_hot, F.sequence(zero, F.lit(parts - 1).cast("long"))).otherwise(F.array(zero))))
+    return left.join(right, [key, "_part"], how).drop("_part")

@@ -218,3 +218,12 @@ def test_feedback(spark):
     row = spark.sql("select array(named_struct('index', 0, 'passed', true, 'error', null), named_struct('index', 1, 'passed', false, 'error', 'KeyError'), named_struct('index', 2, 'passed', null, 'error', null)) r, slice(array(named_struct('index', 0, 'passed', true, 'error', 'x')), 1, 1) g")
     out = row.select(R.feedback(F.lit("f"), F.col("r"), 1), R.feedback(F.lit("f"), F.col("g"), 1)).first()
     assert out[0] == "Cases of f that fail: 2\n- case 2: KeyError" and out[1] is None
+
+
+def test_joins_with_hot_keys(spark):
+    rows = spark.createDataFrame([(f"r{i}", "hot" if i % 3 == 0 else f"k{i % 200}") for i in range(900)] + [("n", None)], "id string, k string")
+    names = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(150)], "k string, v int")
+    for how in ("left", "inner"):
+        plain, dealt = rows.join(names, "k", how), J.hot_joined(rows, names, "k", F.col("id"), how)
+        assert sorted(map(str, plain.select("k", "id", "v").collect())) == sorted(map(str, dealt.select("k", "id", "v").collect()))
+    assert J.hot_joined(rows.limit(0), names, "k", F.col("id")).count() == 0
