@@ -22,6 +22,11 @@ _CUT_ESCAPE = re.compile(r"\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?|U[0-9A-Fa-f]{0,7
 _UNFINISHED = re.compile(r"(?:[-+*/%^|&<>=,.\\:@!~(\[{]|\b(?:and|or|not|in|is|if|else|for|lambda|return|import|from|as|def|class|while|with|yield|print))\s*$")
 
 
+def cut_mark(text: str) -> bool:
+    """Whether a text ends with the mark of a cut."""
+    return bool(CUT_MARKS.search(text.rstrip()[-24:]))
+
+
 def open_parts(code: str, lines: bool = True) -> str:
     """What is open at the end of the text: '' or the pending closers; where ``lines`` end statements, a bracket left open counts until the next line that starts one."""
     stack: list[str] = []
@@ -128,7 +133,7 @@ def prose_end(text: str) -> str:
     s = text.rstrip()
     if not s:
         return "complete"
-    if _CUT_ESCAPE.search(s):
+    if _CUT_ESCAPE.search(s[-24:]):
         return "open"
     last = s.rsplit("\n", 1)[-1].strip()
     if last.startswith("#") or last.endswith(":") or re.fullmatch(r"[\"'`~=*_-]{3,}", last):
@@ -189,7 +194,7 @@ def answer_end(text: str) -> tuple[str, bool]:
     """(state, closed): how an answer ends, by the automaton of its last part; closed: it ends with a code block that was closed explicitly."""
     if PLACEHOLDER.match(text):
         return "complete", False
-    if CUT_MARKS.search(text) or _CUT_ESCAPE.search(text.rstrip()):
+    if cut_mark(text) or _CUT_ESCAPE.search(text.rstrip()[-24:]):
         return "open", False
     parts = blocks(text)
     kind, last, closed = parts[-1]

@@ -210,21 +210,58 @@ def _sound():
     return pairs
 
 
-def test_pair_defects(spark):
-    pairs = _sound()
-    model = pairdefects.Model().fit(pairdefects.synthetic(pairs[:120]))
-    held = [x for x in pairdefects.synthetic(pairs[120:], 99) if x[2] != "other_language" or structure.OTHER_CODE.search(x[1])]
-    got = model.label([p for p, _, _ in held], [a for _, a, _ in held])
-    right = sum(g == want or (want == "truncated" and g is None and structure.answer_end(a)[0] == "complete") for (_, a, want), g in zip(held, got))
-    assert right / len(held) > 0.93
-    cases = [(PROMPT, None), (PROMPT, "# your code here"), (PROMPT, PROMPT), (PROMPT, "function f(a) {\n  return a;\n}"), (PROMPT, CODE), (PROMPT, CODE[:-20]), (None, CODE), ("Explain in prose why the program fails.\n\nAdd up the numbers of the list and print what is left after the last of them.", "Die Funktion ist nicht für die Liste gedacht und wird nie durch den Prüfer erreicht.")]
+@pytest.fixture(scope="module")
+def defect_model(spark):
+    rows = [(f"k{i}", p, a) for i, (p, a) in enumerate(_sound()[:120])]
+    return pairdefects.train(spark.createDataFrame(rows, "key string, prompt string, answer string"))
+
+
+def _held_out():
+    rng, prose = random.Random(99), {k: list(v) for k, v in pairdefects._FOREIGN_PROSE.items()}
+    return [x for p, a in _sound()[120:] for x in pairdefects.synthetic(p, a, rng, prose)]
+
+
+def _right(model, held):
+    return sum(g == w for (_, _, w), g in zip(held, model.label([p for p, _, _ in held], [a for _, a, _ in held]))) / len(held)
+
+
+def test_pair_defects_on_held_out_pairs(defect_model):
+    held = _held_out()
+    assert _right(defect_model, held) > 0.96
+    # the classifier decides: without its weights nothing is found, without its n-grams refusals of explanations go unseen
+    mute = pairdefects.Model()
+    mute.dense, mute.thresholds = defect_model.dense, defect_model.thresholds
+    assert _right(pairdefects.Model(), held) < 0.5
+    refused = [x for x in held if x[2] == "refusal" and x[0] and "Explain" in x[0]]
+    assert _right(defect_model, refused) > _right(mute, refused) + 0.1
+
+
+def test_pair_defects(spark, defect_model):
+    model = defect_model
+    task = "Add up the numbers of the list and print what is left after the last of them."
+    cases = [(PROMPT, None), (PROMPT, "# your code here"), (PROMPT, PROMPT), (PROMPT, "function f(a) {\n  return a;\n}"), (PROMPT, CODE), (PROMPT, CODE[:-20]), (None, CODE), (f"Explain in prose why the program fails.\n\n{task}", "Die Funktion ist nicht für die Liste gedacht und wird nie durch den Prüfer erreicht.")]
     assert model.label([p for p, _ in cases], [a for _, a in cases]) == ["empty", "empty", "copy", "other_language", None, "truncated", None, "other_language"]
-    judge = "Decide whether the program passes (answer pass or fail).\n\nAdd up the numbers of the list and print what is left after the last of them."
+    judge = f"Decide whether the program passes (answer pass or fail).\n\n{task}"
     assert model.label([judge] * 5, ["pass", "Fail.", " PASS\n", "N/A", None]) == [None, None, None, "empty", "empty"]
+    assert model.label([PROMPT, None], ["I cannot write this program for you.", CODE + "\n" + "x = 1\n" * 20_000 + "return x"]) == ["refusal", None]
     df = spark.createDataFrame([("s", str(i), p, a) for i, (p, a) in enumerate(cases)], "src string, key string, prompt string, answer string")
     assert pairdefects.find_defects(df, model).count() == 6 and pairdefects.find_defects(df.limit(0), model).count() == 0
 
 
+def test_responses_are_looked_up_in_their_prompts(spark):
+    sound = _sound()
+    sft = spark.createDataFrame([(f"s{i}", p, a) for i, (p, a) in enumerate(sound)] + [("s0", *sound[0]), (None, "p", "a")], "id string, prompt string, completion string")
+    problems = spark.createDataFrame([(f"p{i}", p) for i, (p, _) in enumerate(sound)] + [("null", None)], "id string, prompt string")
+    programs = [a for p, a in sound if "def f" in a]
+    quoted = PROMPT + "\nimport sys\n"  # a program's first line doesn't make a copied prompt an answer
+    rows = [(f"r{i}", "p1", a) for i, a in enumerate(programs)] + [("c", "hot", quoted), ("n", "gone", programs[0]), ("n", "gone", programs[0]), ("e", None, " "), (None, "p1", "")]
+    responses = spark.createDataFrame(rows, "response_id string, id string, generated_code string")
+    found = pairdefects.sft_and_responses(sft, responses, problems.unionAll(spark.createDataFrame([("hot", PROMPT)], "id string, prompt string")))
+    assert {tuple(r) for r in found.where("src = 'responses'").collect()} == {("responses", "c", "copy"), ("responses", "e", "empty")}
+    assert found.where("src = 'sft_records'").count() <= 2
+    assert pairdefects.sft_and_responses(sft.limit(0), responses.limit(0), problems.limit(0)).count() == 0
+
+
 def _summaries(rng, causes):
     rows = []
     for c in range(causes):
