@@ -171,9 +171,19 @@ SQL["p4_counts"] = (
     "with f as (" + _P4.replace("least(ka, kb) as id_a, greatest(ka, kb) as id_b", "ka, kb") + "), p as (select id, min(lower(trim(eval_split))) as eval_split, min(dataset) as dataset from problems where id is not null group by 1) "
     "select e.eval_split, e.dataset as eval_dataset, t.dataset as train_dataset, count(*) as pairs from f join p e on e.id = ka join p t on t.id = kb group by all"
 )
+_WILSON = "({k} / {n} + 4.0 / (2 * {n}) - 2 * sqrt({k} / {n} * (1 - {k} / {n}) / {n} + 4.0 / (4.0 * {n} * {n}))) / (1 + 4.0 / {n})"
+#: Words without content are found by counts over all rows, as in ``clusters.words_without_content``.
 SQL["p7_found"] = (
-    "with recursive w as (select response_id as k, any_value(list_distinct(regexp_extract_all(lower(coalesce(nullif(regexp_extract(llm_summary, '\"summary\"\\s*:\\s*\"((?:[^\"\\\\]|\\\\.)*)', 1), ''), llm_summary)), '[\\p{L}\\p{N}_]+'))) as w from failures where llm_summary is not null group by 1), "
-    "c as (select k, list_filter(w, lambda x: not list_contains(string_split('" + clusters.COMMON_WORDS + "', ' '), x)) as w from w), s as (select k, len(w) as n, unnest(w) as t from c), "
+    "with recursive t as (select response_id as k, any_value(regexp_extract_all(lower(coalesce(nullif(regexp_extract(llm_summary, '\"summary\"\\s*:\\s*\"((?:[^\"\\\\]|\\\\.)*)', 1), ''), llm_summary)), '[\\p{L}\\p{N}_]+')) as w from failures where llm_summary is not null and response_id is not null group by 1 having len(w) > 0), "
+    "total as (select count(*) as total from t), e as (select distinct k, unnest(w) as word from t), cnt as (select word, count(*) as df from e group by 1), often as (select word, df from cnt, total where df >= 0.02 * total), "
+    "pos as (select word, i, n from (select unnest(w) as word, unnest(range(len(w))) as i, len(w) as n from t) join often using (word)), "
+    "place as (select word, side, p, count(*)::double as n from (select word, 0 as side, i as p from pos union all select word, 1, n - i from pos) group by all), "
+    "near as (select word, side, p - j as s, sum(n) as n from place, (values (0), (1), (2)) v(j) group by all), most as (select word, max(n) as most from near group by 1), places as (select word, sum(n) as places from place where side = 0 group by 1), "
+    "first as (select word from most join places using (word) where " + _WILSON.format(k="most", n="places") + " >= 0.6 union select word from often, total where df >= 0.25 * total), "
+    "rest as (select k, word, df from e join cnt using (word) where word not in (select word from first)), "
+    "signed as (select k, array_to_string(list_transform(list_sort(list({'df': df, 'word': word}))[1:2], lambda x: x.word), ' ') as s from rest group by 1), kinds as (select count(distinct s) as kinds from signed), "
+    "wide as (select word from rest join signed using (k), total, kinds where df >= 0.02 * total group by word, df, total, kinds.kinds having count(distinct s) >= 0.1 * kinds.kinds and count(distinct s) / kinds.kinds >= 1.4 * df / total), "
+    "c as (select k, word as t from e where word not in (select word from first) and word not in (select word from wide)), s as (select k, count(*) over (partition by k) as n, t from c), "
     "pair as (select a.k as ka, b.k as kb from s a join s b on a.t = b.t and a.k < b.k group by a.k, b.k having count(*) >= ceil(0.6 * max(greatest(a.n, b.n)) - 1e-9)), " + _REACH + " "
     "select x as response_id, min(y) as cluster_id from reach group by 1"
 )
