@@ -7,9 +7,10 @@ a text's n runs the first n - ceil(t n) + 1 are kept, and two texts that agree
 have a kept run in common, wherever their words are changed, moved, added or
 dropped and however short they are.  Bitmaps of their runs bound from above what
 two texts can have in common and drop most candidates.  Candidates are verified
-by the exact agreement of word runs, as defined for the result; their edit
-distance comes from a banded dynamic programme over words, with BAND of the
-longer text (all of it, as moved sentences cost twice their length in edits).
+by the exact agreement of word runs, as defined for the result.  Links get their
+edit distance by a banded dynamic programme over words: the band is the share of
+the longer text that the threshold leaves open, and links beyond it, whose
+sentences were moved, have none.
 
 Defined results: texts without three words match nothing; equal texts are
 joined once and expanded to their rows in the end; repeated rows count once;
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lodestack.durable import durable
 from lodestack.llm import grams as G
 
-WIDTH, BAND = 3, 1.0
+WIDTH = 3
 #: Bits of a text's bitmap of runs.
 BITS = 512
 #: Lines of the prompt templates around a task; {} stands for anything.
@@ -106,14 +107,18 @@ def agreement(a: np.ndarray, b: np.ndarray, width: int = 3) -> float:
 def _verify(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf.assign(size=pdf["ew"].map(len)).sort_values("size")  # pairs of one length go together
-            for k in range(0, len(pdf), 256):
-                part = pdf.iloc[k : k + 256]
-                texts = [(np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)) for a, b in zip(part["ew"], part["tw"])]
-                bands = np.array([int(np.ceil(BAND * max(len(a), len(b)))) for a, b in texts])
-                edits = banded_distances(texts, bands)
-                rows = [(e, t, int(d), s) for e, t, (a, b), d, w in zip(part["e"], part["t"], texts, edits, bands) if d <= w and (s := agreement(a, b)) >= threshold - 1e-9]
-                yield pd.DataFrame(rows, columns=["e", "t", "edits", "similarity"])
+            rows = []
+            for e, t, a, b in zip(pdf["e"], pdf["t"], pdf["ew"], pdf["tw"]):
+                a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
+                if (s := agreement(a, b)) >= threshold - 1e-9:
+                    rows.append((e, t, s, a, b))
+            rows.sort(key=lambda r: len(r[3]))  # pairs of one length go together
+            for k in range(0, len(rows), 256):
+                part = rows[k : k + 256]
+                bands = np.array([int(np.ceil((1 - threshold) * max(len(a), len(b)))) for *_, a, b in part])
+                edits = banded_distances([(a, b) for *_, a, b in part], bands)
+                out = [(e, t, int(d) if d <= w else None, s) for (e, t, s, _, _), d, w in zip(part, edits, bands)]
+                yield pd.DataFrame(out, columns=["e", "t", "edits", "similarity"]).astype({"edits": "Int32"})
 
     return run
 
@@ -143,7 +148,7 @@ def _possible(met: DataFrame, et: DataFrame, tt: DataFrame, threshold: float) ->
 
 
 def cross_split(evaluation: DataFrame, training: DataFrame, key: str, text: str, threshold: float = 0.65) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(evaluation members, training members, links): members are (key, text_id), links (e, t, edits, similarity) between texts."""
+    """(evaluation members, training members, links): members are (key, text_id), links (e, t, edits, similarity) between texts; ``edits`` is null for texts with moved parts."""
     schema = "key string, text_id long, words array<long>, runs int, bits array<long>"
     pick = lambda df: durable(df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key is not null").mapInPandas(_words, schema).where(F.size("words") >= 3), "words")
     ev, tr = pick(evaluation), pick(training)
