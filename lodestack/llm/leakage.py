@@ -1,22 +1,23 @@
 """Problem 9: evaluation texts leaking into training text, by greedy string tiling.
 
-Items are cut into seeds of SEED words; lines that many items share say nothing
-about one item and are left out, and items with equal words are one entry with
-several keys.  Documents meet items on every shared seed: item seeds go to the
-workers as a fixed-size bitmap and a sorted table, in blocks of ITEM_BLOCK
-entries, so what is sent never grows with the items, and no result depends on
-the other items of a block.  Seeds that follow one another on a diagonal form a
-run.  RUN words are a leak at once; a shorter run is dropped if no chain goes on
-at either end, and what is left is aligned in a band of diagonals around it: an
-item also counts as leaked by ORDERED successive words of it in which any words
-but never two in succession are changed, dropped or added.  A chain without
-any SEED intact words in succession isn't met, which needs ten changes or more
-in ORDERED words.  Leaked pairs are tiled: running Karp-Rabin hashes of shrinking
-width find the longest unmarked common runs, which are marked, longest first,
-until none of MIN_TILE words is left; the coverage of all tiles, which also
-catches reordered passages, is reported.
-
-Defined results: null and empty texts match nothing; items shorter than SEED
+Lines that many items share say nothing about one item and are left out; items
+with equal words are one entry.  Entries go to the workers in blocks of
+BLOCK_WORDS words, one block after the other, so what is sent never grows with
+the items, and no result depends on the other items of a block.  Documents meet
+entries on shared seeds of SEED words; seeds that follow one another on a
+diagonal form a run, and RUN words are a leak at once.  An entry also counts as
+leaked by ORDERED successive words of it in which any words but never two in
+succession are changed, dropped or added, however many: a bitmap of all words
+of the documents of a batch rules out the entries that have no ORDERED words
+without two missing ones in succession, and the rest is aligned in those bands of
+diagonals that hold CORE successive common words.  (A chain without any, which
+takes 16 changes or more in ORDERED words, isn't met.)  Leaked pairs are tiled: running Karp-Rabin hashes of
+shrinking width find the longest unmarked common runs, which are marked,
+longest first, until none of MIN_TILE words is left.  The tiles' coverage of the
+entry also finds passages in another order: with ``coverage`` given, pairs whose
+tiles of PIECE words and more cover that share of the entry are leaks, too.
+
+Defined results: null and empty texts match nothing; items shorter than RUN
 words match nothing; items with equal texts all match; repeated keys give one
 row a pair.
 """
@@ -30,11 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lodestack.durable import durable
 from lodestack.llm import grams as G
 
-SEED, MIN_TILE, RUN, ORDERED = 5, 3, 20, 50
-ITEM_BLOCK = 5_000
-#: Diagonals a chain may move away from its run of seeds, and pairs aligned at a time.
+SEED, CORE, MIN_TILE, RUN, ORDERED, PIECE = 16, 3, 3, 20, 50, 5
+BLOCK_WORDS = 250_000
+#: A third of a band's diagonals, by which bands lie apart; pairs aligned at a time.
 DRIFT, PAIRS = 16, 512
 #: Items that share a line (as a share of all, and at least so many) make it an instruction line.
 LINE_SHARE, LINE_ITEMS = 0.02, 4
@@ -46,54 +48,80 @@ def plain(text: str | None) -> str:
     return _MARKUP.sub("", text).lower() if text else ""
 
 
-def without_shared_lines(items: DataFrame, key: str, text: str) -> list[tuple]:
-    """(key, text) of each item without instruction lines; items with equal texts count once.  Items are a test set: they fit the driver, block by block."""
-    rows = items.select(key, text).where(F.col(text).isNotNull()).distinct()
-    texts = rows.select(text).distinct()
-    lines = texts.select(F.explode(F.array_distinct(F.transform(F.split(text, "\n"), F.trim))).alias("line")).where("line <> ''")
-    n = texts.count()
-    shared = {r[0] for r in lines.groupBy("line").count().where(F.col("count") >= max(LINE_ITEMS, LINE_SHARE * n)).select("line").collect()}
-    return [(r[0], "\n".join(x for x in r[1].split("\n") if x.strip() not in shared)) for r in rows.toLocalIterator()]
-
-
-def collapsed(items: list[tuple]) -> list[tuple[list, str]]:
-    """(keys, text): items with equal words are one entry."""
-    out: dict[str, tuple[list, str]] = {}
-    for k, t in items:
-        out.setdefault(" ".join(_WORD.findall(plain(t))), ([], t))[0].append(k)
-    return list(out.values())
+def entries(items: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(item, entry) of all items and (entry, text): each entry's text without instruction lines; items with equal words are one entry."""
+    rows = items.select(F.col(key).alias("item"), F.col(text).alias("whole")).where("whole is not null").distinct()
+    texts = rows.select("whole").distinct()
+    lines = texts.select("whole", F.posexplode(F.split("whole", "\n")).alias("i", "line")).withColumn("bare", F.trim("line")).where("bare <> ''")
+    least = F.greatest(F.lit(LINE_ITEMS), F.lit(LINE_SHARE * texts.count()))
+    shared = lines.select("whole", "bare").distinct().groupBy("bare").count().where(F.col("count") >= least).select("bare")
+    kept = lines.join(shared, "bare", "left_anti").groupBy("whole").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))  # one item's lines
+    words = F.regexp_extract_all(F.lower(F.regexp_replace("text", _MARKUP.pattern, "")), F.lit("(?U)" + _WORD.pattern), F.lit(0))
+    named = durable(kept.withColumn("entry", F.xxhash64(words)), "entries")
+    return rows.join(named.select("whole", "entry"), "whole").select("item", "entry"), named.groupBy("entry").agg(F.min("text").alias("text"))
 
 
 class ItemIndex:
-    """Seeds of a block of items, given as (keys, text)."""
+    """Words and seeds of a block of items, given as (key, text)."""
 
-    def __init__(self, items: list[tuple[list, str]]):
+    def __init__(self, items: list[tuple]):
         self.keys = [k for k, _ in items]
         ids, counts = G.token_ids([plain(t) for _, t in items], _WORD)
         self.ids, self.counts, self.starts = ids, counts, np.cumsum(counts) - counts
-        h, own, pos = G.grams(ids, counts, SEED)
+        self.vocabulary, self.codes = np.unique(ids, return_inverse=True)
+        own = np.repeat(np.arange(len(counts)), counts)
+        self.last = np.append(own[1:] != own[:-1], True)[: len(own)]
+        self.seeds = {w: self._seeds(w) for w in (SEED, PIECE)}
+
+    def _seeds(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        h, own, pos = G.grams(self.ids, self.counts, width)
         order = np.argsort(h, kind="stable")
-        self.h, self.own, self.pos = h[order], own[order], pos[order]
-        self.bitmap = np.zeros(1 << 20, dtype=bool)
-        self.bitmap[(self.h >> np.uint64(44)).astype(np.int64)] = True
-
-    def meet(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, diagonal, length in words) and the place in the item of every run of shared seeds."""
-        h, own, pos = G.grams(ids, counts, SEED)
-        hit = self.bitmap[(h >> np.uint64(44)).astype(np.int64)]
+        bitmap = np.zeros(1 << 20, dtype=bool)
+        bitmap[(h >> np.uint64(44)).astype(np.int64)] = True
+        return h[order], own[order], pos[order], bitmap
+
+    def meet(self, ids: np.ndarray, counts: np.ndarray, width: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, place in the item, length in words) of every run of shared seeds."""
+        width = width or SEED
+        seeds, owners, places, bitmap = self.seeds[width]
+        h, own, pos = G.grams(ids, counts, width)
+        hit = bitmap[(h >> np.uint64(44)).astype(np.int64)]
         h, own, pos = h[hit], own[hit], pos[hit]
-        lo, hi = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
+        lo, hi = np.searchsorted(seeds, h, "left"), np.searchsorted(seeds, h, "right")
         n = hi - lo
         at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        doc, item, place = np.repeat(own, n), self.own[at], self.pos[at]
+        doc, item, place = np.repeat(own, n), owners[at], places[at]
         diagonal = np.repeat(pos, n) - place
         order = np.lexsort((place, diagonal, item, doc))
         doc, item, diagonal, place = doc[order], item[order], diagonal[order], place[order]
         first = np.ones(len(doc), dtype=bool)
         first[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) != 0) | (np.diff(place) != 1)
         begin = np.flatnonzero(first)
-        length = np.diff(np.append(begin, len(doc))) + SEED - 1
-        return doc[begin], item[begin], diagonal[begin], place[begin], length
+        return doc[begin], item[begin], place[begin], np.diff(np.append(begin, len(doc))) + width - 1
+
+    def possible(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item) of the pairs in which ORDERED successive words of the item have no two in succession that the text lacks; a bit a text."""
+        if not len(self.ids) or not len(ids):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, ids), len(self.vocabulary) - 1)
+        hit = self.vocabulary[at] == ids
+        present = np.zeros((len(self.vocabulary), len(counts)), dtype=bool)
+        present[at[hit], np.repeat(np.arange(len(counts)), counts)[hit]] = True
+        missing = ~np.packbits(present, axis=1)[self.codes]
+        broken = np.empty_like(missing)  # before the next word
+        broken[:-1] = missing[1:] & missing[:-1]
+        broken[self.last] = 0xFF
+        width = 1
+        while width < ORDERED - 1:
+            step = min(width, ORDERED - 1 - width)
+            wider = broken.copy()
+            wider[:-step] |= broken[step:]
+            wider[-step:] = 0xFF
+            broken, width = wider, width + step
+        some = np.flatnonzero(self.counts)
+        blocked = np.bitwise_and.reduceat(broken, self.starts[some], axis=0)
+        item, doc = np.nonzero(~np.unpackbits(blocked, axis=1)[:, : len(counts)].astype(bool))
+        return doc, some[item]
 
 
 def _runs(ids: np.ndarray, free: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,12 +179,6 @@ def chained(found: list[tuple[int, int, int]]) -> int:
     return best
 
 
-def _goes_on(word_a, word_b, x: np.ndarray, y: np.ndarray, step: int) -> np.ndarray:
-    """Whether a chain can go on past the last common words x and y of a run, by one change, in the direction of ``step``; also when it leaves the run a word early."""
-    a, b = [word_a(x + step * k) for k in range(3)], [word_b(y + step * k) for k in range(3)]
-    return (a[2] == b[2]) | (a[2] == b[1]) | (a[1] == b[2]) | (a[1] == b[0]) | (a[0] == b[1])
-
-
 def aligned(a: list[np.ndarray], b: list[np.ndarray], low: np.ndarray, width: int) -> np.ndarray:
     """For many pairs at once, the most successive words of ``a`` in order in ``b`` with isolated changes, over the diagonals from ``low`` on; 0 if two successive words without a partner on these diagonals rule ORDERED out."""
     n = max(map(len, a))
@@ -191,58 +213,77 @@ def aligned(a: list[np.ndarray], b: list[np.ndarray], low: np.ndarray, width: in
     return out
 
 
-def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, coverage: float | None = None) -> DataFrame:
     """(key, item, longest, ordered, coverage) of every document that contains an item's passage."""
     spark = docs.sparkSession
-    listed = collapsed(without_shared_lines(items, item_key, item_text))
-    kinds = dict(docs.select(F.col(key).alias("key")).dtypes) | dict(items.select(F.col(item_key).alias("item")).dtypes)
-    schema = f"key {kinds['key']}, item {kinds['item']}, longest int, ordered int, coverage double"
+    kind = dict(docs.select(F.col(key).alias("key")).dtypes)["key"]
+    schema = f"key {kind}, entry long, longest int, ordered int, coverage double"
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
-    out = None
-    for k in range(0, max(1, len(listed)), ITEM_BLOCK):
-        shared = spark.sparkContext.broadcast(ItemIndex(listed[k : k + ITEM_BLOCK]))
-        part = source.mapInArrow(_search(shared), schema)
-        out = part if out is None else out.unionAll(part)
-    return out.dropDuplicates(["key", "item"])
-
-
-def _leaked(index: ItemIndex, ids: np.ndarray, counts: np.ndarray) -> dict[tuple[int, int], int]:
-    """The pairs (text, item) that are leaks, with their words in order by alignment."""
+    members, texts = entries(items, item_key, item_text)
+    out, block, size = None, [], 0
+
+    def search() -> DataFrame:
+        part = source.mapInArrow(_search(spark.sparkContext.broadcast(ItemIndex(block)), coverage), schema)  # BLOCK_WORDS, about
+        return part if out is None else out.unionAll(part)
+
+    for entry, body in texts.orderBy("entry").toLocalIterator():  # the query set, block by block
+        block.append((entry, body))
+        size += len(body.split())
+        if size >= BLOCK_WORDS:
+            out, block, size = search(), [], 0
+    if block or out is None:
+        out = search()
+    return out.dropDuplicates(["key", "entry"]).join(members, "entry").select("key", "item", "longest", "ordered", "coverage")
+
+
+def _bands(index: ItemIndex, ids: np.ndarray, counts: np.ndarray, doc: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, band) of the pairs' bands of diagonals that hold CORE successive common words."""
+    h, own, at = G.grams(ids, counts, CORE)
+    keys = G.mix(h + own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # a text's own grams
+    order = np.argsort(keys, kind="stable")
+    keys, at = keys[order], at[order]
+    h, owner, place = G.grams(index.ids, index.counts, CORE)
+    first = np.searchsorted(owner, np.arange(len(index.counts) + 1))
+    n = (first[1:] - first[:-1])[item]
+    pair = np.repeat(np.arange(len(item)), n)
+    gram = np.repeat(first[item], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    wanted = G.mix(h[gram] + doc[pair].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+    n = hi - lo
+    hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    band = (at[hit] - np.repeat(place[gram], n)) // DRIFT
+    pair, band = np.unique(np.stack([np.repeat(pair, n), band]), axis=1)
+    return doc[pair], item[pair], band
+
+
+def _leaked(index: ItemIndex, ids: np.ndarray, counts: np.ndarray, coverage: float | None = None) -> dict[tuple[int, int], int]:
+    """The pairs (text, item) that are leaks or, by their seeds, may have the coverage, with their words in order by alignment."""
     starts = np.cumsum(counts) - counts
-    doc, item, diagonal, place, length = index.meet(ids, counts)
-    if not len(doc):
-        return {}
-
-    def words(all_: np.ndarray, start: np.ndarray, size: np.ndarray, none: int):
-        def get(at: np.ndarray) -> np.ndarray:
-            inside = (at >= 0) & (at < size)
-            return np.where(inside, all_[np.where(inside, start + at, 0)], np.uint64(none))
-
-        return get
-
-    word_a, word_b = words(index.ids, index.starts[item], index.counts[item], 0), words(ids, starts[doc], counts[doc], 1)
-    x, y = place, place + diagonal
-    ends = _goes_on(word_a, word_b, x + length - 1, y + length - 1, 1) | _goes_on(word_a, word_b, x, y, -1)
+    doc, item, _, length = index.meet(ids, counts)
     long = length >= RUN
-    room = (index.counts[item] >= ORDERED) & (counts[doc] >= ORDERED // 2)
     out = {(d, i): 0 for d, i in zip(doc[long].tolist(), item[long].tolist())}
-    keep = long | ((ends | (length >= ORDERED)) & room)
-    tasks = np.unique(np.stack([doc[keep], item[keep], diagonal[keep] // DRIFT]), axis=1)
-    order = np.argsort(index.counts[tasks[1]], kind="stable")  # items of one length go together
+    if coverage is not None:
+        doc, item, _, length = index.meet(ids, counts, PIECE)
+        pairs, at = np.unique(np.stack([doc, item]), axis=1, return_inverse=True)
+        if len(doc):
+            enough = np.bincount(at.ravel(), weights=length) >= coverage * index.counts[pairs[1]]
+            out |= {(d, i): out.get((d, i), 0) for d, i in pairs[:, enough].T.tolist()}
+    doc, item, band = _bands(index, ids, counts, *index.possible(ids, counts))
+    order = np.argsort(index.counts[item], kind="stable")  # items of one length go together
     for k in range(0, len(order), PAIRS):
-        d, i, band = tasks[:, order[k : k + PAIRS]]
-        a = [index.ids[index.starts[j] : index.starts[j] + index.counts[j]] for j in i.tolist()]
-        b = [ids[starts[j] : starts[j] + counts[j]] for j in d.tolist()]
-        for pair, n in zip(zip(d.tolist(), i.tolist()), aligned(a, b, (band - 1) * DRIFT, 3 * DRIFT).tolist()):
-            if n >= ORDERED or pair in out:
-                out[pair] = max(out.get(pair, 0), n)
+        at = order[k : k + PAIRS]
+        a = [index.ids[index.starts[j] : index.starts[j] + index.counts[j]] for j in item[at].tolist()]
+        b = [ids[starts[j] : starts[j] + counts[j]] for j in doc[at].tolist()]
+        for pair, words in zip(zip(doc[at].tolist(), item[at].tolist()), aligned(a, b, (band[at] - 1) * DRIFT, 3 * DRIFT).tolist()):
+            if words >= ORDERED or pair in out:
+                out[pair] = max(out.get(pair, 0), words)
     return out
 
 
-def _search(shared):
+def _search(shared, coverage: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = shared.value
-        step = max(1, min(1000, 1_000_000 // max(1, len(index.keys))))
+        step = max(8, min(1000, 30_000_000 // max(1, len(index.ids))))
         for whole in batches:
             for k in range(0, whole.num_rows, step):
                 batch = whole.slice(k, step)
@@ -250,16 +291,16 @@ def _search(shared):
                 ids, counts = G.token_ids(texts, _WORD)
                 starts = np.cumsum(counts) - counts
                 rows = []
-                for (d, i), ordered in sorted(_leaked(index, ids, counts).items()):
+                for (d, i), ordered in sorted(_leaked(index, ids, counts, coverage).items()):
                     a, b = index.ids[index.starts[i] : index.starts[i] + index.counts[i]], ids[starts[d] : starts[d] + counts[d]]
                     found = tiles(a, b)
                     longest, ordered = max(t[2] for t in found), max(ordered, chained(found))
-                    rows += [(d, key, longest, ordered, sum(t[2] for t in found) / len(a)) for key in index.keys[i]]
-                at = pa.array([r[0] for r in rows], type=pa.int64())
-                named = pa.array([r[1] for r in rows])
+                    covered = sum(t[2] for t in found if t[2] >= PIECE) / len(a)
+                    if longest >= RUN or ordered >= ORDERED or (coverage is not None and covered >= coverage):
+                        rows.append((d, index.keys[i], longest, ordered, covered))
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(at), named if rows else pa.array([], type=pa.int64() if not index.keys or isinstance(index.keys[0][0], int) else pa.string()), pa.array([r[2] for r in rows], type=pa.int32()), pa.array([r[3] for r in rows], type=pa.int32()), pa.array([r[4] for r in rows], type=pa.float64())],
-                    names=["key", "item", "longest", "ordered", "coverage"],
+                    [keys.take(pa.array([r[0] for r in rows], type=pa.int64())), pa.array([r[1] for r in rows], type=pa.int64()), pa.array([r[2] for r in rows], type=pa.int32()), pa.array([r[3] for r in rows], type=pa.int32()), pa.array([r[4] for r in rows], type=pa.float64())],
+                    names=["key", "entry", "longest", "ordered", "coverage"],
                 )
 
     return run

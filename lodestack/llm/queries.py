@@ -114,6 +114,12 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("documents"), F.max("coverage").alias("coverage"), F.max("longest").alias("longest"))
 
 
+def p9_reordered(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold four fifths of an item in pieces, in whatever order."""
+    found = leakage.find_leaks(_table(spark, d, "documents"), "doc_id", "text", _table(spark, d, "bench_items"), "item_id", "text", coverage=0.8)
+    return found.where("coverage >= 0.8").select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), F.bround("coverage", 4).alias("coverage"), ((F.col("longest") >= leakage.RUN) | (F.col("ordered") >= leakage.ORDERED)).alias("in_order"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.find_garbled(_table(spark, d, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id")).distinct()
 
@@ -122,7 +128,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.find_garbled(_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_rates, p4_found, p4_counts, p5_found, p5_assignment, p6_found, p6_counts, p7_found, p7_typical, p8_found, p8_packing, p9_found, p9_items, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_rates, p4_found, p4_counts, p5_found, p5_assignment, p6_found, p6_counts, p7_found, p7_typical, p8_found, p8_packing, p9_found, p9_items, p9_reordered, p10_found, p10_restored)}
 
 _AGREE = """, n as (select k, count(*) as n from s group by k), c as (
   select {pairs} from s a join s b on a.g = b.g and {side} group by all)

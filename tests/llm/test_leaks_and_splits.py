@@ -19,6 +19,25 @@ def test_leaks_of_equal_items_and_of_close_or_shifted_changes(spark):
     assert {(r.key, r.item) for r in found} == {(0, i) for i in range(6)} | {(0, 10 + i) for i in range(6)} | {(1, 6), (2, 7)}
 
 
+def test_leaks_with_many_single_changes_and_in_another_order(spark):
+    rng = random.Random(3)
+    passage = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    base = [passage(100) for _ in range(6)]
+    holed = lambda w, step: [x if (k + 1) % step else "changed" for k, x in enumerate(w)]
+    pieces = [base[3][k : k + 13] for k in range(0, 100, 13)]
+    docs = [(0, " ".join(holed(base[0], 5))), (1, " ".join(passage(40) + holed(base[1], 4) + passage(9))), (2, " ".join(x if (k // 2) % 3 else "zz" for k, x in enumerate(base[2]))), (3, " ".join(w for p in reversed(pieces) for w in p)), (4, " ".join(passage(300))), (5, " ".join(holed(base[4][:60], 5)[:49]))]
+    df = spark.createDataFrame(docs * 2, "id long, text string")
+    items = spark.createDataFrame([(f"i{k}", " ".join(w)) for k, w in enumerate(base)] + [("null", None), ("short", "one two three"), ("i0", " ".join(base[0]))], "item string, text string")
+    found = lambda **x: {(r.key, r.item) for r in leakage.find_leaks(df, "id", "text", items, "item", "text", **x).collect()}
+    assert found() == {(0, "i0"), (1, "i1")}
+    assert found(coverage=0.8) == {(0, "i0"), (1, "i1"), (3, "i3")}
+    old, leakage.BLOCK_WORDS = leakage.BLOCK_WORDS, 150  # several blocks of items
+    try:
+        assert found() == {(0, "i0"), (1, "i1")}
+    finally:
+        leakage.BLOCK_WORDS = old
+
+
 def test_cross_split_of_short_and_of_much_changed_texts(spark):
     rng = random.Random(9)
     w = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
