@@ -4,9 +4,12 @@ A line is re-encoded under each candidate legacy encoding and strictly decoded
 as each intended one; the cheapest reading under a garbling cost replaces it
 if the cost drops, and the search starts again on the result, for nested
 layers.  Where a line mixes sound and garbled characters, its runs of
-non-ASCII characters are tried one by one.  What stays beyond repair
-(replacement and control characters, words of mixed script) still counts as
-damage.
+non-ASCII characters are tried one by one.  A reading in a single-byte encoding,
+which nearly any text allows, must also turn pairs of neighbouring letters that
+sound text doesn't have into pairs that it has: pairs are counted over all lines
+of the collection that no garbling can have left, beside those of a few
+sentences (SAMPLES).  What stays beyond repair (replacement and control
+characters, several words of accented letters only) still counts as damage.
 
 Defined results: null and empty texts are sound; text lost to replacement
 characters is reported without a restored text; text of one sound encoding
@@ -16,6 +19,7 @@ comes back unchanged, so the operator is idempotent.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 LEGACY = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866")
 INTENDED_SINGLE = ("cp1251", "koi8_r", "cp866", "cp1252", "mac_roman")
 LAYERS = 4
+#: Share of usual letter pairs that a single-byte rereading must reach, and by how much it must gain; rows that make a pair usual.
+USUAL, GAIN, SEEN = 0.7, 0.3, 3
 #: Characters that sound text has.
 TYPOGRAPHIC = "“”‘’„–—…€°×→←≥≤≠≈∞«»¿¡§•±·№"
 COMMON_RUSSIAN = "оеаинтсрвлкмдпу"
@@ -66,7 +72,15 @@ _PAIRED = re.compile("[\u0080-\u009f]|[─-◿]|" + _pairs())
 _SWAPPED = re.compile("[\u0080-\u009f�]|[À-ÖØ-öø-ÿ]{3}|[ЀЂ-Џѐђ-ӿ]|[А-ЯЁ]{3}|[а-яё][А-ЯЁ]|[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]")
 _RUN = re.compile("[^\x00-\x7f]+")
 _MIXED = re.compile(r"[A-Za-zÀ-ÿ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ÿ]")
-_HARD = re.compile("[\u0080-\u009f�]|[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]")
+_HARD = re.compile("[\u0080-\u009f�]")
+#: Sound sentences, for collections that have none of a language.
+SAMPLES = (
+    "Für jede Prüfung müssen die Wörter über größere Maßstäbe zurückgeführt werden, während schöne Bücher später höchstens erwähnt würden. Übrigens hätten Köche ähnliche Gründe.",
+    "L'été dernier, la fenêtre était déjà cassée à côté de l'hôtel où les élèves préparaient leur thèse; ça n'a pas été très gênant, grâce à la maîtresse. Où êtes-vous née?",
+    "¿Qué ocurrió después? El niño también comió más jamón según la canción; el árbol pequeño está aquí, y además la razón es fácil. Sólo él lo sabía: mañana habrá música.",
+    "A função não é válida: há três razões para a solução já não estar aqui, também às vezes ninguém vê os órgãos e as posições. Você não põe açúcar no café da manhã, pois são opções úteis.",
+    "После проверки каждая строка сохраняется в памяти, чтобы можно было быстро найти нужное значение и вернуть ответ. Если число больше предыдущего, функция должна пропустить его и продолжить работу; эта ошибка возникает из-за неверного условия. Объём данных ещё растёт, поэтому мы считаем только последние шаги цикла. Например, жёлтый флаг съехал вниз, а юный художник щедро выбрал другой цвет.",
+)
 
 
 def _weight(c: str) -> float:
@@ -121,8 +135,24 @@ def _reread(text: str, legacy: str, intended: str) -> str | None:
         return None
 
 
-def _best(text: str, now: float, paired: bool, swapped: bool) -> tuple[str, float]:
+def letter_pairs(text: str) -> list[str]:
+    """Pairs of neighbouring characters with a letter beyond ASCII among them, in lower case; blanks and signs count as the end of a word."""
+    low = "".join(c if c.isalpha() else " " for c in text.lower())
+    return [a + b for a, b in zip(" " + low, low + " ") if not (a.isascii() and b.isascii())]
+
+
+_PRIOR = frozenset(p for s in SAMPLES for p in letter_pairs(s))
+
+
+def usual(text: str, known: frozenset | set) -> float:
+    """The share of a text's letter pairs that sound text has; 0 without any."""
+    pairs = letter_pairs(text)
+    return sum(p in known for p in pairs) / len(pairs) if pairs else 0.0
+
+
+def _best(text: str, now: float, paired: bool, swapped: bool, known: frozenset | set) -> tuple[str, float]:
     best, least = text, now
+    have = None
     for legacy in LEGACY:
         for intended in (*(("utf-8",) if paired else ()), *(INTENDED_SINGLE if swapped else ())):
             if legacy == intended:
@@ -133,6 +163,10 @@ def _best(text: str, now: float, paired: bool, swapped: bool) -> tuple[str, floa
             c = cost(other)
             # a single-byte rereading keeps the length, so it must convince by more
             if c < least and (intended == "utf-8" or c < 0.7 * now):
+                if intended != "utf-8":
+                    have = usual(text, known) if have is None else have
+                    if (will := usual(other, known)) < USUAL or will < have + GAIN:
+                        continue
                 best, least = other, c
     return best, least
 
@@ -153,7 +187,7 @@ def _runs(text: str) -> str:
     return _RUN.sub(one, text)
 
 
-def repair_line(line: str) -> tuple[str, int, bool]:
+def repair_line(line: str, known: frozenset | set = _PRIOR) -> tuple[str, int, bool]:
     """The restored line, the layers undone, and whether damage is left."""
     layers = 0
     if line.isascii():
@@ -162,34 +196,59 @@ def repair_line(line: str) -> tuple[str, int, bool]:
         paired, swapped = bool(_PAIRED.search(line)), bool(_SWAPPED.search(line))
         if not paired and not swapped:
             break
-        new, _ = _best(line, cost(line), paired, swapped)
+        new, _ = _best(line, cost(line), paired, swapped, known)
         if new == line and paired:
             new = _runs(line)
         if new == line:
             break
         line, layers = new, layers + 1
-    return line, layers, bool(_HARD.search(line)) or any(len(m) >= 4 for m in _LONG_LATIN.findall(line))
+    return line, layers, bool(_HARD.search(line)) or sum(len(m) >= 4 and m[1:].islower() for m in _LONG_LATIN.findall(line)) >= 3
 
 
-def repair(text: str | None) -> tuple[str | None, int, bool]:
+def repair(text: str | None, known: frozenset | set = _PRIOR) -> tuple[str | None, int, bool]:
     """As ``repair_line``, of a whole text."""
     if not text or text.isascii():
         return text, 0, False
-    out = [repair_line(line) for line in text.split("\n")]
+    out = [repair_line(line, known) for line in text.split("\n")]
     return "\n".join(x[0] for x in out), max(x[1] for x in out), any(x[2] for x in out)
 
 
+_REPERTOIRE = frozenset(c for e in (*LEGACY, *INTENDED_SINGLE) for b in range(128, 256) for c in bytes([b]).decode(e, "ignore").lower() if c.isalpha()) | frozenset("abcdefghijklmnopqrstuvwxyz ")
+
+
+def sound_pairs(texts: DataFrame) -> frozenset:
+    """The letter pairs of SEEN rows and more of (text), over all lines that show no trace of garbling.  They are pairs of the encodings' letters, so their number is bounded."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n: Counter = Counter()
+            for t in pdf["text"]:
+                seen: set = set()
+                for line in t.split("\n"):
+                    if not (line.isascii() or _PAIRED.search(line) or _SWAPPED.search(line)):
+                        seen.update(letter_pairs(line))
+                n.update(p for p in seen if p[0] in _REPERTOIRE and p[1] in _REPERTOIRE)
+            yield pd.DataFrame({"pair": pd.Series(list(n), dtype=object), "n": pd.Series(list(n.values()), dtype="int64")})
+
+    rows = texts.mapInPandas(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
+    return _PRIOR | {r[0] for r in rows.select("pair").collect()}  # at most the square of the repertoire
+
+
 def find_garbled(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, layers, complete, restored): one row per damaged text; ``restored`` is null where nothing could be restored."""
 
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]"))
+    known = df.sparkSession.sparkContext.broadcast(sound_pairs(rows.select("text")))  # bounded by the encodings
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = known.value
         for pdf in batches:
             rows = []
             for k, t in zip(pdf["key"], pdf["text"]):
-                new, layers, left = repair(t)
+                new, layers, left = repair(t, pairs)
                 if layers or left:
                     rows.append((k, layers, not left, new if layers else None))
             yield pd.DataFrame(rows, columns=["key", "layers", "complete", "restored"])
 
     kind = dict(df.select(F.col(key).alias("key")).dtypes)["key"]
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]")).mapInPandas(run, f"key {kind}, layers int, complete boolean, restored string")
+    return rows.mapInPandas(run, f"key {kind}, layers int, complete boolean, restored string")

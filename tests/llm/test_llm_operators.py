@@ -338,7 +338,7 @@ def test_tiles_cover_reordered_passages():
     assert leakage.chained(found) == 40 and leakage.tiles(a, np.zeros(0, dtype=np.uint64)) == []
 
 
-SOUND = ["Größere Änderungen für Maßstäbe überprüft", "La fonction doit être appelée après l’été – déjà 3 €", "¿Qué ocurre cuando la señal está vacía? Sólo después", "ATENÇÃO: O ÂNGULO É SÓ UMA REFERÊNCIA, não há razões", "Функция должна вернуть количество её пар", "ВНИМАНИЕ: проверка", "“quoted” … 20 °C ≥ 3 × 4 → ∞"]
+SOUND = ["Größere Änderungen für Maßstäbe überprüft", "La fonction doit être appelée après l’été – déjà 3 €", "¿Qué ocurre cuando la señal está vacía? Sólo después", "ATENÇÃO: O ÂNGULO É SÓ UMA REFERÊNCIA, não há razões", "Функция должна вернуть количество её пар", "ВНИМАНИЕ: проверка", "“quoted” … 20 °C ≥ 3 × 4 → ∞", "ÄÖÜÉ TEST", "І з Ї Є", "C++ и Pythonом", "IT-отдел и PDFы", "ПРОВЕРКА ОКОНЧЕНА", "Усі рядки треба перевірити ще раз, бо їх кількість змінилася", "Ñandú y ÑU"]
 
 
 @pytest.mark.parametrize("text", SOUND)
@@ -355,6 +355,14 @@ def test_round_trip_repair(legacy, text):
     assert mojibake.repair("plain\n" + bad + "\nplain")[0] == "plain\n" + text + "\nplain"
 
 
+def test_letter_pairs_come_from_the_collection(spark):
+    greek = "Η συνάρτηση επιστρέφει το άθροισμα"
+    df = spark.createDataFrame([(f"Größe wächst ständig {i}\n{greek}",) for i in range(3)] + [("żółw",), ("grÃ¶ÃŸer Ã¼ber",)], "text string")
+    pairs = mojibake.sound_pairs(df)
+    assert {"wä", "äc", "tä"} <= pairs and "żó" not in pairs and "¶ã" not in pairs and not any("η" in p for p in pairs)
+    assert mojibake.sound_pairs(df.limit(0)) == mojibake._PRIOR
+
+
 def test_other_damage():
     twice = SOUND[0].encode().decode("latin-1").encode().decode("latin-1")
     assert mojibake.repair(twice) == (SOUND[0], 2, False)
