@@ -61,19 +61,22 @@ def union(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def hot_joined(rows: DataFrame, lookup: DataFrame, key: str, spread: Column, how: str = "left", share: float = 1 / 64, parts: int = 16) -> DataFrame:
-    """``rows`` joined to ``lookup`` on ``key``, with hot keys dealt over several tasks.
-
-    Keys that hold more than ``share`` of the rows, of which there are fewer than
-    1 / share, get one of ``parts`` numbers by the hash of ``spread``; their rows
-    of ``lookup`` are repeated for each of them.  Null keys meet nothing.
-    """
-    total = rows.count()
-    hot = [r[0] for r in rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > share * max(total, 1)).select(key).collect()]
-    if not hot:
-        return rows.join(lookup, key, how)
-    is_hot = F.col(key).isin(hot)
-    zero = F.lit(0).cast("long")
-    left = rows.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(parts).cast("long"))).otherwise(zero))
-    right = lookup.withColumn("_part", F.explode(F.when(is_hot, F.sequence(zero, F.lit(parts - 1).cast("long"))).otherwise(F.array(zero))))
-    return left.join(right, [key, "_part"], how).drop("_part")
+def dealt(rows: DataFrame, key: str, hot: list, spread: Column, parts: int = 16) -> DataFrame:
+    """``rows`` with ``_part``: for hot keys one of ``parts`` numbers by the hash of ``spread``, 0 for all others."""
+    return rows.withColumn("_part", F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(F.lit(0)))
+
+
+def repeated(lookup: DataFrame, key: str, hot: list, parts: int = 16) -> DataFrame:
+    """``lookup`` with ``_part``: rows of hot keys once for each of ``parts`` numbers, all others once."""
+    return lookup.withColumn("_part", F.explode(F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+
+
+def hot_keys(counts: DataFrame, key: str, count: str, total: int, share: float = 1 / 64) -> list:
+    """Keys of (key, count) that hold more than ``share`` of the total; fewer than 1 / share."""
+    return [r[0] for r in counts.where(F.col(key).isNotNull() & (F.col(count) > share * max(total, 1))).select(key).collect()]
+
+
+def hot_joined(rows: DataFrame, lookup: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:
+    """``rows`` joined to ``lookup`` on ``key``, with hot keys dealt over several tasks; null keys meet nothing."""
+    hot = hot_keys(rows.groupBy(key).count(), key, "count", rows.count())
+    return dealt(rows, key, hot, spread).join(repeated(lookup, key, hot), [key, "_part"], how).drop("_part") if hot else rows.join(lookup, key, how)
