@@ -7,7 +7,9 @@ into what the group still needs are accepted, the part that doesn't fit becomes
 the next interval, and the rest leaves.  Once a part holds one score only, the
 code goes on with the next bytes of the identifiers, behind the prefix that the
 part's identifiers share.  No group is ever sorted or gathered, whatever its
-size, and the rows left shrink with every pass.
+size, and the rows left shrink with every pass.  Rows meet the state of their
+group by shuffles, never by broadcasts, and groups of a great share of all rows
+are dealt over several tasks.
 
 Defined results: rows whose group, score or identifier is null, or whose score
 is NaN, take no part; a group of fewer than N rows is kept whole; equal scores
@@ -22,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestack.durable import durable
+from lodestack.operators.joins import dealt, hot_keys, repeated
 
 PARTS = 64
 _BYTES = 6
@@ -49,26 +52,32 @@ def top_n(df: DataFrame, group: str, key: str, score: str, n: int = 3) -> DataFr
     rows = durable(rows.withColumn("code", F.greatest(F.least(-F.col("score"), limit), -limit) + F.lit(0.0)), "scores")
     state = rows.groupBy("grp").agg(F.count("*").alias("c"), F.min("code").alias("lo"), F.max("code").alias("hi"), F.min("key").alias("klo"), F.max("key").alias("khi"))
     state = durable(_aim(state.withColumn("need", F.lit(n)), F.lit(-1)), "groups")
-    rows = rows.withColumn("skip", F.lit(-1))
+    # groups of a great share of all rows are dealt over several tasks wherever rows meet their group's state
+    hot = hot_keys(state, "grp", "c", rows.count())
+    rows = dealt(rows, "grp", hot, F.col("key")).withColumn("skip", F.lit(-1))
+
+    def of(side: DataFrame) -> DataFrame:  # it grows with the groups, so it is never sent to all
+        return repeated(side, "grp", hot).hint("merge")
+
     done: list[DataFrame] = []
     while True:
         whole = state.where("c <= need").select("grp")
         open_ = state.where("c > need")
-        done.append(rows.join(whole, "grp", "left_semi").select("grp", "key", "score"))
+        done.append(rows.join(of(whole), ["grp", "_part"], "left_semi").select("grp", "key", "score"))
         if open_.isEmpty():
             break
         span = F.col("hi") / PARTS - F.col("lo") / PARTS
         part = F.least(F.lit(PARTS - 1), F.floor((F.col("code") - F.col("lo")) / span)).cast("int")
         rows = (
-            rows.drop("skip").join(open_.select("grp", "lo", "hi", "skip"), "grp")
+            rows.drop("skip").join(of(open_.select("grp", "lo", "hi", "skip")), ["grp", "_part"])
             .withColumn("code", F.when(F.col("skip") >= 0, _id_code(F.col("key"), F.col("skip"))).otherwise(F.col("code")))
             .withColumn("part", part).drop("lo", "hi")
         )
         counts = rows.groupBy("grp", "part").agg(F.count("*").alias("c"), F.min("code").alias("lo"), F.max("code").alias("hi"), F.min("key").alias("klo"), F.max("key").alias("khi"))
         before = F.coalesce(F.sum("c").over(Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        parts = counts.join(open_.select("grp", "need", "skip"), "grp").withColumn("before", before).where("before < need")
+        parts = counts.join(open_.select("grp", "need", "skip").hint("merge"), "grp").withColumn("before", before).where("before < need")
         parts = durable(_aim(parts.withColumn("need", (F.col("need") - F.col("before")).cast("int")), F.col("skip")), "parts")
-        rows = durable(rows.join(parts.select("grp", "part", "c", "need"), ["grp", "part"]).drop("part"), "left")
+        rows = durable(rows.join(of(parts.select("grp", "part", "c", "need")), ["grp", "_part", "part"]).drop("part"), "left")
         done.append(rows.where("c <= need").select("grp", "key", "score"))
         rows = rows.where("c > need").drop("c", "need")
         state = parts.where("c > need").drop("part", "before")
