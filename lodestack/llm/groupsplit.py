@@ -3,8 +3,8 @@
 Distributed union-find: every partition joins its own relations in a local
 forest and hands on only the forest's edges; forests are merged level by level,
 a few partitions into one, while the edges fit MERGE_ROWS a task.  Should more
-edges remain, large-star/small-star rounds contract them, so no task ever holds
-more than its share.  Groups are then given to the splits largest first, each
+edges remain, large-star/small-star rounds contract them first, so no task ever
+holds more than its share; the components are the same either way.  Groups are then given to the splits largest first, each
 to the split furthest below its target; groups of equal size are interchangeable,
 so the greedy run needs only the number of groups of each size, of which there
 are at most sqrt(2 x records).
@@ -16,6 +16,7 @@ are empty.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -100,19 +101,25 @@ def related(df: DataFrame, record: str, keys: Column) -> DataFrame:
     return first.join(roots, first["first"] == roots["node"], "left").select("record", F.coalesce("root", "first").alias("root"))
 
 
-def plan_splits(sizes: list[tuple[int, int]], shares: dict[str, float], bulk: int = 10_000) -> dict[int, list[tuple[str, int]]]:
-    """From (group size, number of such groups), largest first, how many groups of each size each split takes, in order."""
+def plan_splits(sizes: list[tuple[int, int]], shares: dict[str, float]) -> dict[int, list[tuple[str, int]]]:
+    """From (group size, number of such groups), largest first, how many groups of each size each split takes, in order.
+
+    A split that lacks L takes groups of size s at lacks of L, L - s, L - 2 s and
+    so on, and the greedy run serves the highest lacks first.  So all above a
+    common level are served at once, and only the last few one by one.
+    """
     total = sum(s * c for s, c in sizes)
     lack = {k: v * total for k, v in shares.items()}
     out: dict[int, list[tuple[str, int]]] = {}
     for size, count in sorted(sizes, reverse=True):
-        taken = dict.fromkeys(shares, 0)
-        if count > bulk:
-            room = {k: max(v, 0.0) for k, v in lack.items()}
-            at_once = count - bulk
-            for k, v in room.items():
-                taken[k] = int(at_once * v / (sum(room.values()) or 1.0))
-                lack[k] -= taken[k] * size
+        above = lambda level: {k: max(0, math.floor((v - level) / size)) for k, v in lack.items()}  # noqa: E731, B023
+        low, high = min(lack.values()) - size * (count + 1), max(lack.values())
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (low, mid) if sum(above(mid).values()) <= count else (mid, high)
+        taken = above(high)
+        for k in lack:
+            lack[k] -= taken[k] * size
         for _ in range(count - sum(taken.values())):
             k = max(lack, key=lambda x: lack[x])
             taken[k] += 1
