@@ -36,8 +36,8 @@ from lodestack.llm import grams as G
 
 SEED, CORE, MIN_TILE, RUN, ORDERED, PIECE = 16, 3, 3, 20, 50, 5
 BLOCK_WORDS = 250_000
-#: A third of a band's diagonals, by which bands lie apart; pairs aligned at a time.
-DRIFT, PAIRS = 16, 512
+#: Diagonals of a band, by how many a chain may leave it on either side; pairs aligned at a time.
+BAND, DRIFT, PAIRS = 48, 16, 256
 #: Items that share a line (as a share of all, and at least so many) make it an instruction line.
 LINE_SHARE, LINE_ITEMS = 0.02, 4
 _MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|\\(?=[_*])")
@@ -68,7 +68,8 @@ class ItemIndex:
         self.keys = [k for k, _ in items]
         ids, counts = G.token_ids([plain(t) for _, t in items], _WORD)
         self.ids, self.counts, self.starts = ids, counts, np.cumsum(counts) - counts
-        self.vocabulary, self.codes = np.unique(ids, return_inverse=True)
+        self.vocabulary, codes = np.unique(ids, return_inverse=True)
+        self.codes = codes.astype(np.int16 if len(self.vocabulary) < 1 << 15 else np.int32)
         own = np.repeat(np.arange(len(counts)), counts)
         self.last = np.append(own[1:] != own[:-1], True)[: len(own)]
         self.seeds = {w: self._seeds(w) for w in (SEED, PIECE)}
@@ -99,14 +100,16 @@ class ItemIndex:
         begin = np.flatnonzero(first)
         return doc[begin], item[begin], place[begin], np.diff(np.append(begin, len(doc))) + width - 1
 
-    def possible(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, item) of the pairs in which ORDERED successive words of the item have no two in succession that the text lacks; a bit a text."""
-        if not len(self.ids) or not len(ids):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    def coded(self, ids: np.ndarray) -> np.ndarray:
+        """The numbers of words in the items' vocabulary; -3 for others."""
         at = np.minimum(np.searchsorted(self.vocabulary, ids), len(self.vocabulary) - 1)
-        hit = self.vocabulary[at] == ids
+        return np.where(self.vocabulary[at] == ids, at, -3).astype(self.codes.dtype)
+
+    def possible(self, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item) of the pairs in which ORDERED successive words of the item have no two in succession that the text lacks; a bit a text."""
+        hit = codes >= 0
         present = np.zeros((len(self.vocabulary), len(counts)), dtype=bool)
-        present[at[hit], np.repeat(np.arange(len(counts)), counts)[hit]] = True
+        present[codes[hit], np.repeat(np.arange(len(counts)), counts)[hit]] = True
         missing = ~np.packbits(present, axis=1)[self.codes]
         broken = np.empty_like(missing)  # before the next word
         broken[:-1] = missing[1:] & missing[:-1]
@@ -182,7 +185,7 @@ def chained(found: list[tuple[int, int, int]]) -> int:
 def aligned(a: list[np.ndarray], b: list[np.ndarray], low: np.ndarray, width: int) -> np.ndarray:
     """For many pairs at once, the most successive words of ``a`` in order in ``b`` with isolated changes, over the diagonals from ``low`` on; 0 if two successive words without a partner on these diagonals rule ORDERED out."""
     n = max(map(len, a))
-    left, right = np.zeros((len(a), n), dtype=np.uint64), np.ones((len(a), n + width), dtype=np.uint64)
+    left, right = np.full((len(a), n), -1, dtype=a[0].dtype), np.full((len(a), n + width), -2, dtype=a[0].dtype)
     for i, (x, y, d) in enumerate(zip(a, b, low.tolist())):
         left[i, : len(x)] = x
         part, at = y[max(0, d) : max(0, d + n + width)], max(0, -d)
@@ -248,11 +251,16 @@ def _bands(index: ItemIndex, ids: np.ndarray, counts: np.ndarray, doc: np.ndarra
     pair = np.repeat(np.arange(len(item)), n)
     gram = np.repeat(first[item], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     wanted = G.mix(h[gram] + doc[pair].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    seen = np.zeros(1 << 22, dtype=bool)
+    seen[(keys >> np.uint64(42)).astype(np.int64)] = True
+    some = seen[(wanted >> np.uint64(42)).astype(np.int64)]
+    pair, gram, wanted = pair[some], gram[some], wanted[some]
     lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
     n = hi - lo
     hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    band = (at[hit] - np.repeat(place[gram], n)) // DRIFT
-    pair, band = np.unique(np.stack([np.repeat(pair, n), band]), axis=1)
+    band = (at[hit] - np.repeat(place[gram], n)) // BAND
+    both = np.unique((np.repeat(pair, n) << 32) + (band + (1 << 31)))
+    pair, band = both >> 32, (both & 0xFFFFFFFF) - (1 << 31)
     return doc[pair], item[pair], band
 
 
@@ -268,13 +276,16 @@ def _leaked(index: ItemIndex, ids: np.ndarray, counts: np.ndarray, coverage: flo
         if len(doc):
             enough = np.bincount(at.ravel(), weights=length) >= coverage * index.counts[pairs[1]]
             out |= {(d, i): out.get((d, i), 0) for d, i in pairs[:, enough].T.tolist()}
-    doc, item, band = _bands(index, ids, counts, *index.possible(ids, counts))
+    if not len(index.ids) or not len(ids):
+        return out
+    codes = index.coded(ids)
+    doc, item, band = _bands(index, ids, counts, *index.possible(codes, counts))
     order = np.argsort(index.counts[item], kind="stable")  # items of one length go together
     for k in range(0, len(order), PAIRS):
         at = order[k : k + PAIRS]
-        a = [index.ids[index.starts[j] : index.starts[j] + index.counts[j]] for j in item[at].tolist()]
-        b = [ids[starts[j] : starts[j] + counts[j]] for j in doc[at].tolist()]
-        for pair, words in zip(zip(doc[at].tolist(), item[at].tolist()), aligned(a, b, (band[at] - 1) * DRIFT, 3 * DRIFT).tolist()):
+        a = [index.codes[index.starts[j] : index.starts[j] + index.counts[j]] for j in item[at].tolist()]
+        b = [codes[starts[j] : starts[j] + counts[j]] for j in doc[at].tolist()]
+        for pair, words in zip(zip(doc[at].tolist(), item[at].tolist()), aligned(a, b, band[at] * BAND - DRIFT, BAND + 2 * DRIFT).tolist()):
             if words >= ORDERED or pair in out:
                 out[pair] = max(out.get(pair, 0), words)
     return out
