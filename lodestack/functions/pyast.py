@@ -13,7 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 AUDIT = T.StructType([
     T.StructField("parseable", T.BooleanType()), T.StructField("syntax_error", T.StringType()), T.StructField("functions", T.ArrayType(T.StringType())),
@@ -24,6 +24,8 @@ AUDIT = T.StructType([
 #: Names that annotations take from typing.
 TYPING = ("Any", "Callable", "Dict", "Iterable", "List", "Optional", "Sequence", "Set", "Tuple", "Union")
 #: Kinds of nodes that the features count.
+#: Pieces of source whose occurrences the features count.
+TERMS = ("for ", "while ", "if ", "elif ", "else", "return", "print", "input(", "import ", "from ", "class ", "def ", "try:", "except", "lambda", "sort", "sorted", "Counter", "defaultdict", "heapq", "bisect", "math.", "re.", "List[", "Dict[", "set(", "dict(", "append", "pop(", "split(", "join(", "replace(")
 COUNTED = ("For", "While", "If", "Return", "Call", "Compare", "BinOp", "BoolOp", "Subscript", "ListComp", "DictComp", "Lambda", "Try", "FunctionDef", "ClassDef", "Import", "Assign")
 
 
@@ -80,26 +82,47 @@ def audit(code: str | None) -> dict:
     return out
 
 
-def without_harness(code: str) -> str:
-    """The source without its top-level demos, if what is left still parses and isn't empty."""
+#: Functions that only try out others.
+_DEMO_NAME = re.compile(r"(?:main|demo|example|run_tests?|test\w*|check_\w+)$")
+
+
+def _tries_out(node: ast.stmt, keep: frozenset[str]) -> bool:
+    return isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) and bool(_DEMO_NAME.match(node.name)) and node.name not in keep and not node.args.args
+
+
+def without_harness(code: str, keep: frozenset[str] = frozenset()) -> str:
+    """The source without its top-level demos and, where something else is defined, the functions without arguments that only try it out; unchanged if what is left doesn't parse or is empty."""
     tree, _ = parse(code)
     if tree is None:
         return code
     lines = code.split("\n")
-    drop = {i for n in tree.body if is_demo(n) for i in range(n.lineno - 1, (n.end_lineno or n.lineno))}
+    others = any(isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and not _tries_out(n, keep) for n in tree.body)
+    drop = {i for n in tree.body if is_demo(n) or (others and _tries_out(n, keep)) for i in range(n.lineno - 1, (n.end_lineno or n.lineno))}
     kept = "\n".join(x for i, x in enumerate(lines) if i not in drop).strip("\n")
     return kept if kept.strip() and parse(kept)[0] is not None else code
 
 
 def parseable_prefix(code: str) -> str:
-    """The longest run of first lines that parses and isn't blank; '' without one.  A binary search isn't sound here, so each cut is tried from the end."""
+    """The longest run of first lines that parses and isn't blank; '' without one.
+
+    A parser that stops at a line stops there in every longer run too, so the
+    next cut is before that line.
+    """
     lines = code.split("\n")
-    for n in range(len(lines), 0, -1):
+    n = len(lines)
+    while n > 0:
         part = "\n".join(lines[:n]).rstrip()
         if not part:
             return ""
-        if parse(part)[0] is not None:
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(part)
             return part
+        except SyntaxError as e:
+            n = min(n, part.count("\n") + 1, e.lineno or n) - 1
+        except (ValueError, RecursionError, MemoryError):
+            n -= 1
     return ""
 
 
@@ -108,6 +131,11 @@ _END = re.compile(r"(?im)^\s*(?:END_OF_CODE|END_REVISED_CODE|### END).*$")
 _FENCED = re.compile(r"(?is)```(?:python)?\s*\n?(.*?)```")
 
 
+#: What stands in for a program, and the openings of prose that follows one.
+_PLACEHOLDER = re.compile(r"(?i)^(?:python code:|<valid python code only>)\s*")
+_PROSE = re.compile(r"\n(?:ERROR_FINDINGS:|Public task prompt:|Previous failed code:|The (?:provided|original) code|No changes|Here is)")
+
+
 def revised_code(raw: str | None) -> dict:
     """(code, status, notes) of a critic's raw answer: what follows its marker, unfenced, cut to what parses, without demos."""
     text, notes = raw or "", []
@@ -123,6 +151,10 @@ def revised_code(raw: str | None) -> dict:
     if (m := _FENCED.search(text)) is not None:
         text = m.group(1)
         notes.append("fence")
+    text = _PLACEHOLDER.sub("", text.strip("\n").lstrip())
+    if (m := _PROSE.search(text)) is not None:
+        text = text[: m.start()]
+        notes.append("prose_cut")
     code = text.strip("\n").rstrip()
     if parse(code)[0] is None:
         code = parseable_prefix(code)
@@ -161,6 +193,32 @@ def _map(df: DataFrame, text: str, name: str, schema: T.DataType, f) -> DataFram
     return keyed.join(once.mapInPandas(run, out), "_key", "left").drop("_key")
 
 
+def feature_tags(audit_: Column, code: Column) -> Column:
+    """Tags of what can be seen of a program: (audit, source) to an array of names."""
+    lines = F.size(F.filter(F.split(F.coalesce(code, F.lit("")), "\n"), lambda x: F.trim(x) != ""))
+    tags = [
+        (audit_["syntax_error"].isNotNull(), "syntax_error"), (code.contains("```"), "has_markdown_fence"), (code.rlike(_PROSE.pattern), "has_prose_marker"), (code.contains("#"), "has_comment"), (lines >= 50, "many_lines"),
+        (audit_["duplicate_functions"] > 0, "duplicate_defs"), (audit_["demos"] > 0, "top_level_calls"), (F.size(audit_["missing_typing"]) > 0, "typing_names_without_import"),
+    ]
+    return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in tags)))
+
+
+def hard_positive(tags: Column) -> Column:
+    """Whether a passing program looks like a failing one."""
+    return F.arrays_overlap(tags, F.array(*map(F.lit, ("top_level_calls", "has_comment", "many_lines", "duplicate_defs"))))
+
+
+def visible_negative(tags: Column, label: Column) -> Column:
+    """Whether a failing program shows what its label says."""
+    has = lambda t: F.array_contains(tags, t)
+    of = lambda *labels: F.coalesce(label.isin(*labels), F.lit(False))
+    broken = ("syntax_or_parse_error", "truncation_or_overgeneration")
+    return (
+        has("syntax_error") | has("has_prose_marker") | has("has_markdown_fence") | (has("duplicate_defs") & of(*broken, "interface_contract_error"))
+        | (has("typing_names_without_import") & of("runtime_exception_or_timeout")) | (has("many_lines") & of(*broken))
+    )
+
+
 def analysed(df: DataFrame, text: str, name: str = "audit") -> DataFrame:
     """``df`` with the AUDIT of a text column; null for null texts."""
     return _map(df, text, name, AUDIT, audit)
@@ -176,8 +234,9 @@ def static_features(df: DataFrame, text: str, name: str = "features") -> DataFra
     import math
 
     def f(code: str | None) -> dict[str, float]:
-        a, lines = audit(code), (code or "").split("\n")
+        a, lines, low = audit(code), (code or "").split("\n"), (code or "").lower()
         raw = {"chars": len(code or ""), "lines": len(lines), "blank_lines": sum(not x.strip() for x in lines), "comment_lines": sum(x.lstrip().startswith("#") for x in lines), "depth": a["max_depth"], "functions": len(a["functions"]), "demos": a["demos"], "parseable": a["parseable"]}
-        return {k: math.log1p(float(v)) for k, v in (raw | {f"ast_{k}": v for k, v in a["node_counts"].items()}).items()}
+        terms = {f"term_{t.strip(' (:.[').lower()}": low.count(t.lower()) for t in TERMS}
+        return {k: math.log1p(float(v)) for k, v in (raw | terms | {f"ast_{k}": v for k, v in a["node_counts"].items()}).items()}
 
     return _map(df, text, name, T.MapType(T.StringType(), T.DoubleType()), f)

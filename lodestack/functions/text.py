@@ -135,28 +135,113 @@ def io_mode(mode: Column, prompt: Column) -> Column:
     return or_else(mode, F.when(F.lower(prompt).contains("standard input"), "stdin_stdout").otherwise("function_call"))
 
 
-#: Exceptions in the order in which an error text is searched for them.
+#: Exceptions in the order in which an error text is searched for them, and the buckets of failed responses.
 RUNTIME_ERRORS = ("NameError", "TypeError", "AttributeError", "IndexError", "KeyError", "ValueError", "ImportError", "ZeroDivisionError")
+OUTPUT_KINDS = ("wrong_type", "wrong_length", "wrong_value")
 
 
-def error_pattern(failure: Column, error: Column, code: Column, raw: Column) -> Column:
-    """The rule bucket of a failed response; the buckets' names are fixed values."""
-    e, f = F.lower(F.coalesce(error, F.lit(""))), F.coalesce(failure, F.lit("unknown"))
-    bad = e.contains("invalid syntax")
-    syntax = (
-        F.when(e.contains("unexpected indent"), "syntax_unexpected_indent")
-        .when(bad & F.coalesce(code, F.lit("")).rlike(r"\)\s+def\s+"), "syntax_duplicate_function_after_return")
-        .when(bad & F.coalesce(raw, F.lit("")).contains("```"), "syntax_markdown_or_fence_artifact")
-        .when(e.contains("was never closed") | e.contains("unexpected eof"), "syntax_truncated_or_unclosed_block")
-        .otherwise("syntax_malformed_code")
-    )
-    runtime = F.lit("runtime_other_exception")
-    for name in reversed(RUNTIME_ERRORS):
-        runtime = F.when(e.contains(name.lower()), f"runtime_{name.replace('Error', '').lower()}_error").otherwise(runtime)
-    return (
-        F.when(f == "syntax_error", syntax).when(f == "runtime_error", runtime).when(f == "logic_error", "logic_wrong_output")
-        .when(f == "timeout", "timeout_nonterminating_or_too_slow").when(f == "generation_failure", "generation_empty_or_non_code").otherwise("unknown_failure")
-    )
+def _first(choices: list[tuple[Column, str]], otherwise: str) -> Column:
+    """The name of the first choice that holds."""
+    held = F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in choices)))
+    return F.coalesce(F.try_element_at(held, F.lit(1)), F.lit(otherwise))
+
+
+def error_pattern(failure: Column, error: Column, code: Column, raw: Column, diagnostic: Column | None = None, first_kind: Column | None = None) -> Column:
+    """The rule bucket of a failed response: by its kind of failure and what the error text, the source and the verifier's diagnostics show."""
+    text, shown = F.lower(F.coalesce(error, F.lit(""))), F.coalesce(code, F.lit(""))
+    kind, first = (F.lit(None).cast("string") if c is None else c for c in (diagnostic, first_kind))
+    named = F.array_intersect(F.array(*(F.lit(n.lower()) for n in RUNTIME_ERRORS)), F.regexp_extract_all(text, F.lit("(" + "|".join(n.lower() for n in RUNTIME_ERRORS) + ")"), F.lit(1)))
+    refused = text.contains("invalid syntax")
+    by_kind = {
+        "syntax_error": _first([
+            (text.contains("unexpected indent"), "syntax_unexpected_indent"), (refused & shown.rlike(r"\)\s+def\s+"), "syntax_duplicate_function_after_return"),
+            (refused & F.coalesce(raw, F.lit("")).contains("```"), "syntax_markdown_or_fence_artifact"), (text.rlike("was never closed|unexpected eof"), "syntax_truncated_or_unclosed_block"),
+        ], "syntax_malformed_code"),
+        "runtime_error": F.when(kind == "exception_on_case", "runtime_exception_on_test_case").otherwise(F.coalesce(F.concat(F.lit("runtime_"), F.regexp_replace(F.try_element_at(named, F.lit(1)), "error$", "_error")), F.lit("runtime_other_exception"))),
+        "logic_error": F.when(first.isin(*OUTPUT_KINDS), F.concat(F.lit("logic_"), F.regexp_replace(first, "^wrong_", "wrong_output_"))).otherwise("logic_wrong_output"),
+        "timeout": F.lit("timeout_nonterminating_or_too_slow"), "generation_failure": F.lit("generation_empty_or_non_code"),
+    }
+    found = F.coalesce(*(F.when(failure == k, v) for k, v in by_kind.items()), F.lit("unknown_failure"))
+    return F.when(kind == "missing_required_interface", "runtime_missing_required_interface").otherwise(found)
+
+
+def interface_names(signatures: Column) -> Column:
+    """Names in an interface, sorted and distinct: of ``def`` and ``class`` lines, and bare names."""
+    def name(v: Column) -> Column:
+        return or_else(F.regexp_extract(v, r"\b(?:def|class)\s+([A-Za-z_]\w*)", 1), F.when(F.trim(v).rlike(r"^[A-Za-z_]\w*$"), F.trim(v)))
+
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(signatures, name))))
+
+
+def called_names(prompt: Column, marker: str = "The evaluator calls:") -> Column:
+    """Names that a prompt lists behind a marker, up to an empty line; none without it."""
+    listed = F.regexp_extract(F.coalesce(prompt, F.lit("")), "(?m)^[ \\t]*" + _quoted(marker) + r"[ \t]*\r?\n([^\n]*)", 1)
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(listed, ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^[A-Za-z_]\w*$"))))
+
+
+def defines_named(code: Column, names: Column) -> Column:
+    """Whether the code has a ``def`` or ``class`` line of every name; true for no names."""
+    defined = F.regexp_extract_all(F.coalesce(code, F.lit("")), F.lit(r"\b(?:def|class)\s+([A-Za-z_]\w*)"), F.lit(1))
+    return F.size(F.array_except(F.coalesce(names, F.array().cast("array<string>")), defined)) == 0
+
+
+def _labelled(text: Column, label: str, value: str) -> Column:
+    return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?im)^\s*{label}\s*[:=]\s*\W*({value})", 1), F.lit(""))
+
+
+def confidence(text: Column) -> Column:
+    """low, medium or high of a labelled line, in lower case; null without one."""
+    return F.lower(_labelled(text, "confidence", r"low|medium|high\b"))
+
+
+def primary_error(text: Column) -> Column:
+    """The identifier on a line ``Primary error:``; null without one."""
+    return _labelled(text, r"primary[ _]error", r"[A-Za-z_]\w*")
+
+
+def phrases_in(text: Column, phrases: tuple[str, ...]) -> Column:
+    """Those of the phrases that a text contains, ignoring case, in the given order."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.filter(F.array(*(F.lit(p) for p in phrases)), lambda p: F.contains(low, F.lower(p)))
+
+
+#: Labels of failed responses, the kinds of failure that say them, and their confidence.
+LABEL_OF_FAILURE = {"runtime_error": ("runtime_exception_or_timeout", "high"), "timeout": ("runtime_exception_or_timeout", "medium")}
+
+
+def deterministic_label(passed: Column, finish: Column, failure: Column, parseable: Column, interface: Column) -> Column:
+    """(label, source, confidence) that the record itself shows; null for passed ones and where nothing shows."""
+    def said(label: str, source: str, sure: str) -> Column:
+        return F.struct(F.lit(label).alias("label"), F.lit("deterministic_" + source).alias("source"), F.lit(sure).alias("confidence"))
+
+    shows = [
+        (finish == "length", said("truncation_or_overgeneration", "finish_reason", "high")), (failure == "generation_failure", said("unclear_other_or_not_failure", "generation_failure", "medium")),
+        ((failure == "syntax_error") | ~F.coalesce(parseable, F.lit(False)), said("syntax_or_parse_error", "parse_or_syntax", "high")), (~F.coalesce(interface, F.lit(True)), said("interface_contract_error", "interface_missing", "high")),
+        *((failure == k, said(label, k, sure)) for k, (label, sure) in LABEL_OF_FAILURE.items()),
+    ]
+    return F.when(~F.coalesce(passed, F.lit(False)), F.coalesce(*(F.when(F.coalesce(c, F.lit(False)), v) for c, v in shows)))
+
+
+#: Categories of failures and the tokens that say them, in the order in which they are looked for.
+CATEGORY_TOKENS = {
+    "format_or_duplicate_code_output": (("syntax",), ("duplicate", "markdown", "format")),
+    "syntax_parseability_or_truncation": (("syntax",),),
+    "interface_name_signature_mismatch": (("interface", "nameerror"),),
+    "runtime_api_type_misuse": (("runtime", "typeerror"),),
+    "termination_or_complexity_control": (("timeout",),),
+    "string_regex_pattern_logic": (("regex", "pattern", "string"),),
+    "edge_case_boundary_handling": (("edge", "empty", "duplicate", "boundary", "does handle", "handle cases"),),
+    "numeric_formula_correctness": (("number", "numeric", "formula", "ceil", "floor", "triangle", "integer"),),
+    "output_type_container_shape": (("wrong_output_type", "wrong_output_length", "tuple", "list"),),
+}
+
+
+def category_of(text: Column) -> Column:
+    """The first category of CATEGORY_TOKENS whose every group has a token in the text."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    any_of = lambda words: keyword_hits(low, words) > 0
+    holds = [(any_of(groups[0]) if len(groups) == 1 else any_of(groups[0]) & any_of(groups[1]), name) for name, groups in CATEGORY_TOKENS.items()]
+    return _first(holds, "algorithmic_wrong_value")
 
 
 def problem_number(text: Column) -> Column:
