@@ -311,7 +311,7 @@ def verified(df: DataFrame, code: str, fn: str, tests: str, timeout: float = 5.0
 
 def _elements(tests: Column) -> Column:
     """The elements of a JSON list as JSON texts; none for anything else."""
-    return F.coalesce(F.from_json(tests, "array<string>"), F.array().cast("array<string>"))
+    return F.coalesce(F.transform(F.from_json(tests, "array<variant>"), lambda v: F.to_json(v)), F.array().cast("array<string>"))
 
 
 def gated_suites(suites: DataFrame, canonical: str, failed: str, fn: str, tests: str, least: int = 1, timeout: float = 5.0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestack.functions import text as X
+from lodestack.functions import hashing as H, text as X
 
 #: Columns that hold answers or hidden tests and never leave in public rows.
 PRIVATE = frozenset({"canonical_solution", "canonical_solutions", "test_list", "test", "test_setup_code", "input_output", "private_diagnostics"})
@@ -84,9 +84,15 @@ LAYOUTS = {
 }
 
 
-def prompt_rows(df: DataFrame, dataset: str, split: Column) -> DataFrame:
-    """(id, dataset, split, io_mode, prompt, solution, tests) from the rows of a public coding benchmark; columns that are missing are null."""
+def prompt_rows(df: DataFrame, dataset: str, split: Column | None = None) -> DataFrame:
+    """(id, dataset, split, io_mode, prompt, solution, tests) from the rows of a public coding benchmark; columns that are missing are null.
+
+    Without a split, rows are dealt 80/10/10 by a hash of their key; humanevalplus has only a test split.
+    """
     at = LAYOUTS[dataset]
+    if split is None:
+        key = F.col(at["id"]).cast("string")
+        split = F.lit("test") if dataset == "humanevalplus" else H.split_by_bucket(H.bucket_sha1(key), 80, 10)
     get = lambda k: F.col(at[k]) if at[k] in df.columns else F.lit(None).cast("string")
     tests = get("tests")
     stdin = F.lit(False) if dataset != "apps" else F.coalesce(F.get_json_object(tests, "$.fn_name").isNull(), F.lit(True))

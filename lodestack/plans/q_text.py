@@ -216,7 +216,8 @@ def failure_clusters(spark, d):
 def static_critic(spark, d):
     """Pass probabilities of test responses from a classifier of training responses."""
     rows = responses(spark, d, "split", "passed", "extracted_code").where("extracted_code is not null and passed is not null").withColumn("label", F.col("passed").cast("double"))
-    model = L.critic(rows.where("split = 'train'"), "extracted_code", "label")
+    rows = L.with_critic_inputs(Y.static_features(rows, "extracted_code"), "extracted_code", "features").drop("features")
+    model = L.critic(rows.where("split = 'train'"), "extracted_code", "label", static=True)
     from pyspark.ml.functions import vector_to_array
 
     return model.transform(rows.where("split <> 'train'")).select("response_id", "passed", F.bround(vector_to_array("probability")[1], 6).alias("pass_probability"))
