@@ -324,7 +324,8 @@ def consolidated_categories(spark, d):
     return rows.groupBy("category").agg(F.count("*").alias("rows"))
 
 
-@query()
+@query(f"""with c as (select coalesce(error_pattern, 'unknown') as dimension, count(*) as failures from {FAILURES} group by 1), t as (select sum(failures) as t from c)
+ select dimension, round_even(failures / t::double, 4) as weight, failures, round_even(failures / t::double, 4) >= 0.25 as critical from c, t""")
 def rubric_document(spark, d):
     """The rubric that the failures' patterns give, a row a dimension."""
     rows = once(spark, d, "failures", "response_id", "id", "error_pattern").groupBy(F.coalesce("error_pattern", F.lit("unknown")).alias("category")).agg(F.count("*").alias("rows"), F.count_distinct("id").alias("tasks"))
