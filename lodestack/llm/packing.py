@@ -3,7 +3,8 @@
 A document of more than CAPACITY tokens becomes full pieces and a rest; no other
 one is split.  Lengths are put into classes by the reciprocal of the capacity:
 class k holds lengths in (CAPACITY/(k+1), CAPACITY/k], of which k fit a container
-whatever they are.  Pieces are dealt into stripes by a hash, and every stripe is
+whatever they are.  Pieces are dealt into stripes by a hash of their key and
+number, so the packing is the same however the files lie, and every stripe is
 packed on its own: the classes one after the other, from the longest, a fixed
 count of k to a container, the remaining space of which is topped up with the
 longest pieces of later classes that fit.  Stripes have a bounded number of
@@ -32,12 +33,12 @@ def byte_tokens(text: Column) -> Column:
 
 
 def pieces(df: DataFrame, key: str, text: str, capacity: int = CAPACITY) -> DataFrame:
-    """(key, piece, pieces, start, tokens): what is packed; all but the last piece of a document are full."""
-    n = df.select(F.col(key).alias("key"), byte_tokens(F.col(text)).alias("total"))
-    n = n.withColumn("pieces", F.ceil(F.col("total") / capacity).cast("long"))
+    """(key, copy, piece, pieces, start, tokens): what is packed; all but the last piece of a document are full, and repeated rows are numbered."""
+    n = df.select(F.col(key).alias("key"), byte_tokens(F.col(text)).alias("total")).groupBy("key", "total").agg(F.count("*").alias("rows"))
+    n = n.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).withColumn("pieces", F.ceil(F.col("total") / capacity).cast("long"))
     whole = n.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
     start = F.col("piece") * capacity
-    return whole.select("key", "piece", "pieces", start.alias("start"), F.least(F.lit(capacity), F.col("total") - start).alias("tokens"))
+    return whole.select("key", "copy", "piece", "pieces", start.alias("start"), F.least(F.lit(capacity), F.col("total") - start).alias("tokens"), "total")
 
 
 def containers(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
@@ -74,11 +75,11 @@ def containers(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY) -> DataFrame:
     """(key, piece, pieces, start, tokens, context): each piece's container."""
     stripes = max(1, df.count() // STRIPE_ROWS)
-    item = pieces(df, key, text, capacity).withColumn("stripe", F.pmod(F.xxhash64("key", "piece", F.monotonically_increasing_id()), F.lit(stripes)).cast("long"))
+    item = pieces(df, key, text, capacity).withColumn("stripe", F.pmod(F.xxhash64("key", "copy", "piece", "total"), F.lit(stripes)).cast("long"))
     kind = dict(item.dtypes)["key"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tokens", "key", "piece"], na_position="first").reset_index(drop=True)
+        pdf = pdf.sort_values(["tokens", "key", "copy", "piece"], na_position="first").reset_index(drop=True)
         n = containers(pdf["tokens"].to_numpy(), capacity)
         names = [f"{s}-{i}" for s, i in zip(pdf["stripe"], n)]
         return pdf.assign(context=names)[["key", "piece", "pieces", "start", "tokens", "context"]]

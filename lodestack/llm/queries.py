@@ -72,6 +72,15 @@ def p5_assignment(spark: SparkSession, d: str) -> DataFrame:
     return groupsplit.assign_splits(groups, SHARES).select(F.col("record").alias("id"), F.col("root").alias("base"), "split")
 
 
+def p5_balance(spark: SparkSession, d: str) -> DataFrame:
+    """How many records the assignment has, whether it keeps groups whole, and whether the splits are within a percent of their shares."""
+    out = durable(p5_assignment(spark, d), "assigned")
+    groups = out.groupBy("base").agg(F.count_distinct("split").alias("splits")).agg(F.max("splits").alias("most"))
+    near = [F.abs(F.avg((F.col("split") == k).cast("int")) - v) < 0.01 for k, v in SHARES.items()]
+    shares = out.agg(F.count("*").alias("records"), F.count_distinct("id").alias("ids"), *(c.alias(k) for c, k in zip(near, SHARES)))
+    return shares.crossJoin(groups).select("records", (F.col("ids") == F.col("records")).alias("once"), (F.col("most") == 1).alias("whole"), F.greatest(*(~F.col(k) for k in SHARES)).alias("off"))  # a row each
+
+
 def _defects(spark: SparkSession, d: str) -> DataFrame:
     return pairdefects.sft_and_responses(_table(spark, d, "sft_records"), _table(spark, d, "responses"), _table(spark, d, "problems"))
 
@@ -101,6 +110,16 @@ def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the packing keeps to the capacity and holds every token once, and how many containers lie between the least possible number and that."""
+    packed = durable(packing.pack(_table(spark, d, "documents"), "doc_id", "text"), "packed")
+    full = packed.groupBy("context").agg(F.sum("tokens").alias("tokens"))
+    whole = packed.groupBy("key").agg(F.sum("tokens").alias("got"), F.max(F.col("start") + F.col("tokens")).alias("end"), F.count_distinct("piece").alias("n"), F.max("pieces").alias("want"))
+    a = full.agg(F.max("tokens").alias("most"), F.sum("tokens").alias("tokens"), (F.avg("tokens") / packing.CAPACITY).alias("fill"))
+    b = whole.agg(F.count("*").alias("documents"), F.count_if(F.col("n") != F.col("want")).alias("torn"))
+    return a.crossJoin(b).select("documents", "tokens", (F.col("most") <= packing.CAPACITY).alias("within_capacity"), (F.col("torn") == 0).alias("complete"), (F.col("fill") > 0.9).alias("well_filled"))  # a row each
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"))
 
@@ -128,7 +147,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.find_garbled(_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_rates, p4_found, p4_counts, p5_found, p5_assignment, p6_found, p6_counts, p7_found, p7_typical, p8_found, p8_packing, p9_found, p9_items, p9_reordered, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_rates, p4_found, p4_counts, p5_found, p5_assignment, p5_balance, p6_found, p6_counts, p7_found, p7_typical, p8_found, p8_packing, p8_fill, p9_found, p9_items, p9_reordered, p10_found, p10_restored)}
 
 _AGREE = """, n as (select k, count(*) as n from s group by k), c as (
   select {pairs} from s a join s b on a.g = b.g and {side} group by all)
@@ -193,3 +212,5 @@ SQL["p7_found"] = (
     "pair as (select a.k as ka, b.k as kb from s a join s b on a.t = b.t and a.k < b.k group by a.k, b.k having count(*) >= ceil(0.6 * max(greatest(a.n, b.n)) - 1e-9)), " + _REACH + " "
     "select x as response_id, min(y) as cluster_id from reach group by 1"
 )
+SQL["p5_balance"] = "select count(distinct id) as records, true as once, true as whole, false as off from sft_records where id is not null"
+SQL["p8_fill"] = "select count(distinct doc_id) as documents, sum(octet_length(encode(coalesce(text, ''))) + 1)::bigint as tokens, true as within_capacity, true as complete, true as well_filled from documents"
