@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from html import escape
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -51,15 +52,35 @@ def rubric_problems(document: dict[str, Any]) -> list[str]:
 def packet(items: DataFrame, key: str, fields: list[str], labels: list[str], most: int = 500) -> str:
     """A review packet in Markdown: at most ``most`` items with their fields and the labels to choose from."""
     out = ["# Review packet", "", "Labels: " + ", ".join(f"`{x}`" for x in labels), ""]
-    for r in items.select(key, *fields).orderBy(key).limit(most).collect():
+    rows = items.select(key, *fields).orderBy(key).limit(most + 1).collect()
+    for r in rows[:most]:
         out += [f"## {r[key]}", ""]
         for f in fields:
             v = "" if r[f] is None else str(r[f])
             out += [f"**{f}**", "", "```", v.replace("```", "'''"), "```", ""] if "\n" in v else [f"**{f}**: {v}", ""]
         out += ["Label: ", ""]
+    if len(rows) > most:
+        out += [f"{items.count() - most} more items are not shown.", ""]
     return "\n".join(out)
 
 
+def annotation_schema(labels: list[str]) -> dict[str, Any]:
+    """The JSON schema of an annotation of a packet's item."""
+    text = {"type": "string"}
+    fields = {"item_id": text, "label": {"enum": [*labels, None]}, "confidence": {"enum": ["low", "medium", "high", None]}, "notes": text, "status": {"enum": ["pending", "done", "skipped"]}}
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "properties": fields, "required": ["item_id", "label", "status"], "additionalProperties": False}
+
+
+def html_index(items: DataFrame, key: str, fields: list[str], most: int = 500) -> str:
+    """A page that lists a packet's items, with its texts escaped; how many more there are is said below."""
+    rows = items.select(key, *fields).orderBy(key).limit(most + 1).collect()
+    cell = lambda v: f"<td>{escape('' if v is None else str(v))}</td>"
+    body = "".join(f'<tr id="{escape(str(r[key]))}">' + "".join(map(cell, r)) + "</tr>\n" for r in rows[:most])
+    head = "".join(f"<th>{escape(c)}</th>" for c in (key, *fields))
+    more = f"<p>{items.count() - most} more items are not shown.</p>\n" if len(rows) > most else ""
+    return f"<!doctype html>\n<meta charset=\"utf-8\">\n<title>Review items</title>\n<table>\n<tr>{head}</tr>\n{body}</table>\n{more}"
+
+
 def low_dimensions(scores: Column, least: int) -> Column:
     """The applicable dimensions with a score below ``least``, by name."""
     low = F.map_filter(scores, lambda _, d: F.coalesce(d["applicable"], F.lit(False)) & (d["score"] < least))

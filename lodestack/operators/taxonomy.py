@@ -15,6 +15,7 @@ from pyspark.ml.linalg import DenseVector, VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from lodestack.durable import durable
 
@@ -168,7 +169,7 @@ def training_rows(rows: DataFrame, split: Column, human: Column, deterministic:
     return labelled.withColumn("label_source", source).drop(*private)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _char_grams(texts: pd.Series) -> pd.Series:
     """Hashes of all runs of three to five characters of a text's words, each word with a blank at both ends."""
     def one(text: str | None) -> np.ndarray:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import jsonfn as N, pyast as Y, text as T
 from lodestack.operators import execute as E, projections as P, prompts as R, scoring as S, taxonomy as L
-from lodestack.plans.tables import FAILURES, JUDGMENTS, PROBLEMS, RESPONSES, SFT, judgments, once, problems, responses
+from lodestack.plans.tables import FAILURES, JUDGMENTS, PROBLEMS, RESPONSES, SFT, derived, judgments, once, problems, responses
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -103,8 +103,7 @@ _DEP = " or ".join(f"(contains(coalesce(r.extracted_code, ''), '{u}') and not co
  select *, case when parse_ok then 5 else 1 end as syntax_score, case when parse_ok and not missing_dep then 4 else 2 end as runtime_score, case when not (parse_ok and interface_ok) then 2 when stub then 1 else 4 end as other_score from c""")
 def code_checks(spark, d):
     """What can be told of a program without running it; that it parses is taken from its kind of failure."""
-    r = responses(spark, d, "failure_type", "interface_names", "extracted_code")
-    checked = r.select("response_id", S.code_checks(F.col("extracted_code"), ~F.col("failure_type").eqNullSafe("syntax_error"), F.col("interface_names")).alias("c"))
+    checked = derived(spark, d, "responses", "response_id", S.code_checks(F.col("extracted_code"), ~F.col("failure_type").eqNullSafe("syntax_error"), F.col("interface_names")).alias("c"))
     scores = S.fallback_scores(F.col("c"), ["syntax_parseability_truncation", "runtime_api_type_misuse", "edge_case_handling"])
     return checked.select("response_id", "c.*", scores.alias("s")).select("response_id", "parse_ok", "interface_ok", "missing_dep", "stub", *(F.col("s")[k].alias(n) for k, n in (("syntax_parseability_truncation", "syntax_score"), ("runtime_api_type_misuse", "runtime_score"), ("edge_case_handling", "other_score"))))
 
@@ -120,13 +119,12 @@ _LINES = "len(list_filter(string_split(coalesce(r.extracted_code, ''), chr(10)),
  select response_id, round_even((case when floor <= 1 then least(mean, 2) when floor = 2 then least(mean, 3) else mean end)::double, 4) as overall, (case when floor <= 1 then least(mean, 2) when floor = 2 then least(mean, 3) else mean end) >= 4 as predicted_pass from t""")
 def deterministic_scores(spark, d):
     """The six-dimension score from what the record shows; that a program parses is taken from its kind of failure."""
-    r = responses(spark, d, "passed", "failure_type", "finish_reason", "io_mode", "interface_names", "extracted_code", "generated_code")
     code = F.coalesce("extracted_code", F.lit(""))
     found = {
         "empty": F.trim(code) == "", "unparseable": F.col("failure_type") == "syntax_error", "long": F.col("finish_reason").eqNullSafe("length") | (T.line_count(F.col("extracted_code")) >= 50), "fence": F.col("generated_code").contains("```"),
         "interface": (F.col("io_mode") == "function_call") & ~T.defines_named(F.col("extracted_code"), F.col("interface_names")),
     }
-    return r.select("response_id", S.deterministic_score(found, F.col("passed"), F.col("failure_type")).alias("s")).select("response_id", "s.overall", "s.predicted_pass")
+    return derived(spark, d, "responses", "response_id", S.deterministic_score(found, F.col("passed"), F.col("failure_type")).alias("s")).select("response_id", "s.overall", "s.predicted_pass")
 
 
 @query(f"""with q as (select case when not coalesce(r.passed, false) then 'not_verifier_passed' when not coalesce(j.predicted_pass, false) then 'not_predicted_pass_by_tests' when coalesce(case when not isnan(j.overall_score) then j.overall_score / 5 end, 0) < 0.5 then 'test_score_too_low' end as reason, len(coalesce(r.interface_names, [])) > 0 as suite from {RESPONSES} r left join {JUDGMENTS} j on r.response_id = j.response_id)

@@ -186,7 +186,7 @@ _GATED = f"""with r as (select *, {_NORMAL("coalesce(nullif(extracted_code, ''),
 
 
 def _gated(spark, d, late, df=None):
-    return G.gate_chain(_repairs(spark, d) if df is None else df, _exprs(EARLY), late, "id", _order(), 1, "max_pairs_per_problem")
+    return G.gate_chain(_repairs(spark, d) if df is None else df, _exprs(EARLY), late, "id", _order(), 1, "max_pairs_per_problem", ["id", "response_id", "original_response_id"])
 
 
 @query(_GATED + "select coalesce(reason, 'accepted') as reason, count(*) as rows from z group by 1")

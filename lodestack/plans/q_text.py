@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import jsonfn as N, pyast as Y, stats as X, text as T
 from lodestack.operators import documents as D, execute as E, judging as JU, paired, projections as P, rubric as B, taxonomy as L, tokens as K
-from lodestack.plans.tables import FAILURES, JUDGMENTS, PROBLEMS, RESPONSES, SFT, judgments, once, problems, responses, table
+from lodestack.plans.tables import FAILURES, JUDGMENTS, PROBLEMS, RESPONSES, SFT, derived, judgments, once, problems, responses, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -31,12 +31,12 @@ _X = f"case when regexp_matches(coalesce(generated_code, ''), '{_FENCE}') then r
 @query(f"select response_id, md5({_X}) as code_md5, length({_X}) as chars from {RESPONSES}")
 def extract_code(spark, d):
     code = T.extract_code(F.col("generated_code"))
-    return responses(spark, d, "generated_code").select("response_id", F.md5(code).alias("code_md5"), F.length(code).alias("chars"))
+    return derived(spark, d, "responses", "response_id", F.md5(code).alias("code_md5"), F.length(code).alias("chars"))
 
 
 @query(f"select response_id, md5(array_to_string(list_filter(string_split(generated_code, chr(10)), lambda x: not starts_with(ltrim(x), '```')), chr(10))) as text_md5 from {RESPONSES}")
 def strip_fence_lines(spark, d):
-    return responses(spark, d, "generated_code").select("response_id", F.md5(T.without_fence_lines(F.col("generated_code"))).alias("text_md5"))
+    return derived(spark, d, "responses", "response_id", F.md5(T.without_fence_lines(F.col("generated_code"))).alias("text_md5"))
 
 
 @query(f"select response_id, substr(trim(error), 1, 12) || case when length(trim(error)) > 12 then '...' else '' end as error, length(error) as chars from {RESPONSES} where error is not null")
@@ -57,13 +57,13 @@ def collapsed_blanks(spark, d):
 @query(f"""select id, md5(trim(case when position('Task:' in prompt) > 0 then split_part(split_part(split_part(substr(prompt, position('Task:' in prompt) + 5), 'Python code:', 1), 'Read standard input', 1), 'The evaluator calls:', 1) else prompt end, chr(10) || ' ' || chr(9) || chr(13))) as task_md5 from {PROBLEMS}""")
 def task_section(spark, d):
     task = T.section(F.col("prompt"), "Task:", ("Python code:", "Read standard input", "The evaluator calls:"))
-    return problems(spark, d, "prompt").select("id", F.md5(task).alias("task_md5"))
+    return derived(spark, d, "problems", "id", F.md5(task).alias("task_md5"))
 
 
 @query(f"""select response_id, len(list_filter(string_split(coalesce(generated_code, ''), chr(10)), lambda x: trim(x) <> '')) as lines,
  case when regexp_matches(coalesce(generated_code, ''), '\\S') then len(regexp_extract_all(generated_code, '\\S+')) else 0 end as tokens from {RESPONSES}""")
 def line_token_counts(spark, d):
-    return responses(spark, d, "generated_code").select("response_id", T.line_count(F.col("generated_code")).alias("lines"), T.token_count(F.col("generated_code")).alias("tokens"))
+    return derived(spark, d, "responses", "response_id", T.line_count(F.col("generated_code")).alias("lines"), T.token_count(F.col("generated_code")).alias("tokens"))
 
 
 #: Words that stand for a kind of cause in a summary.
@@ -88,7 +88,8 @@ def verdicts(spark, d):
 
 @query(f"select response_id, len(list_filter(interface_names, lambda n: not list_contains(regexp_extract_all(coalesce(extracted_code, ''), '(?m)^\\s*(?:async\\s+)?def\\s+(\\w+)\\s*\\(', 1), n))) = 0 as defines_all from {RESPONSES} where interface_names is not null")
 def interface_check(spark, d):
-    return responses(spark, d, "interface_names", "extracted_code").where("interface_names is not null").select("response_id", T.defines_all(F.col("extracted_code"), F.col("interface_names")).alias("defines_all"))
+    rows = derived(spark, d, "responses", "response_id", F.when(F.col("interface_names").isNotNull(), T.defines_all(F.col("extracted_code"), F.col("interface_names"))).alias("defines_all"))
+    return rows.where("defines_all is not null")
 
 
 _ERR = "lower(coalesce(error, ''))"
@@ -101,8 +102,9 @@ _RUN = " ".join(f"when contains({_ERR}, '{n.lower()}') then 'runtime_{n.replace(
  from {RESPONSES} where not coalesce(passed, false) group by 1""")
 def error_patterns(spark, d):
     code = T.or_else(F.col("extracted_code"), F.col("generated_code"))
-    rows = responses(spark, d, "passed", "failure_type", "error", "extracted_code", "generated_code").where(~F.coalesce("passed", F.lit(False)))
-    return rows.groupBy(T.error_pattern(F.col("failure_type"), F.col("error"), code, F.col("generated_code")).alias("error_pattern")).agg(F.count("*").alias("rows"))
+    pattern = T.error_pattern(F.col("failure_type"), F.col("error"), code, F.col("generated_code"))
+    rows = derived(spark, d, "responses", "response_id", F.when(~F.coalesce("passed", F.lit(False)), pattern).alias("error_pattern")).where("error_pattern is not null")
+    return rows.groupBy("error_pattern").agg(F.count("*").alias("rows"))
 
 
 @query(f"select response_id, id, sample_id, dataset, coalesce(nullif(split, ''), nullif(regexp_extract(id, '^[a-z]+/([a-z]+)/', 1), ''), 'unknown') as split, coalesce(failure_type, 'unknown') as failure_type from {RESPONSES} where not coalesce(passed, false)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -14,6 +14,11 @@ def once(spark: SparkSession, d: str, name: str, key: str, *columns: str) -> Dat
     return table(spark, d, name).select(key, *columns).where(F.col(key).isNotNull()).dropDuplicates([key])
 
 
+def derived(spark: SparkSession, d: str, name: str, key: str, *columns: Column) -> DataFrame:
+    """The key and values computed from its row, one row a key; texts stay where they are, only the values are shuffled."""
+    return table(spark, d, name).where(F.col(key).isNotNull()).select(key, *columns).dropDuplicates([key])
+
+
 def responses(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return once(spark, d, "responses", "response_id", *columns)
 

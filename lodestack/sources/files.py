@@ -23,11 +23,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType | str, required: tuple[str, ...] = (), optional: bool = False, limit: int | None = None, file_column: str | None = None) -> DataFrame:
+def jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType | str, required: tuple[str, ...] = (), optional: bool = False, limit: int | None = None, file_column: str | None = None, order_column: str | None = None, checked: bool = False) -> DataFrame:
     """JSON lines of one or more files or patterns, blank lines skipped.
 
-    Bad lines make the read fail when it runs, naming file and line is ``first_bad_line``'s part.
-    ``optional``: paths that don't exist count as empty.
+    Bad lines make the read fail when it runs; ``checked`` reads the lines once
+    before and names the first bad one's file and line.  ``optional``: paths
+    that don't exist count as empty.  ``order_column`` gets a value that orders
+    rows by file and place in it, however the files are split.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     there = [p for p in paths if exists(spark, p)] if optional else paths
@@ -37,10 +39,17 @@ def jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType | st
         raise BadInput(f"columns missing: {', '.join(missing)}")
     if not there:
         df = spark.createDataFrame([], schema)
-        return df.withColumn(file_column, F.lit(None).cast("string")) if file_column else df
+        at = T.StructType([T.StructField("f", T.StringType()), T.StructField("s", T.LongType()), T.StructField("i", T.LongType())])
+        df = df.withColumn(file_column, F.lit(None).cast("string")) if file_column else df
+        return df.withColumn(order_column, F.lit(None).cast(at)) if order_column else df
+    for p in there if checked else ():
+        if (bad := first_bad_line(spark, p)) is not None:
+            raise BadInput(f"not a JSON object: {bad}")
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(there)
     if file_column:
         df = df.withColumn(file_column, F.col("_metadata.file_path"))
+    if order_column:
+        df = df.withColumn(order_column, F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("i")))
     if required:
         df = df.where(" and ".join(f"`{c}` is not null" for c in required))
     return df.limit(limit) if limit is not None else df
@@ -77,7 +86,7 @@ def digests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def replay(spark: SparkSession, rows: DataFrame, path: str, schema: str, key: str) -> DataFrame:
     """``rows`` with the recorded output of each key, the last of repeated ones; raises if any is missing."""
-    recorded = jsonl(spark, path, schema).groupBy(key).agg(F.last("raw_output").alias("raw_output"))
+    recorded = jsonl(spark, path, schema, order_column="_at").groupBy(key).agg(F.max_by("raw_output", "_at").alias("raw_output"))
     joined = rows.join(recorded, key, "left")
     gone = joined.where("raw_output is null").count()
     if gone:
@@ -88,7 +97,7 @@ def replay(spark: SparkSession, rows: DataFrame, path: str, schema: str, key: st
 def annotations(spark: SparkSession, folder: str, items_schema: str, notes_schema: str, key: str = "item_id") -> DataFrame:
     """Review items of a folder with their annotations, the last of repeated ones; items without one stay, annotations without an item don't."""
     items = jsonl(spark, f"{folder}/review_items.jsonl", items_schema, optional=True)
-    notes = jsonl(spark, f"{folder}/annotations.jsonl", notes_schema, optional=True).withColumn("_at", F.monotonically_increasing_id())
+    notes = jsonl(spark, f"{folder}/annotations.jsonl", notes_schema, optional=True, order_column="_at")
     rest = [c for c in notes.columns if c not in (key, "_at")]
     last = notes.groupBy(key).agg(F.max_by(F.struct(*rest), "_at").alias("_n")).select(key, *(F.col(f"_n.{c}").alias(c) for c in rest))
     return items.join(last, key, "left")

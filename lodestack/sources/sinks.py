@@ -44,7 +44,10 @@ def document(value: Any, path: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:
-    """A table of at most ``most`` rows."""
+    """A table of at most ``most`` rows; how many more there are is said below it."""
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    return "\n".join([head, *("| " + " | ".join(map(cell, r)) + " |" for r in df.limit(most).collect())]) + "\n"
+    rows = df.limit(most + 1).collect()
+    lines = [head, *("| " + " | ".join(map(cell, r)) + " |" for r in rows[:most])]
+    more = df.count() - most if len(rows) > most else 0
+    return "\n".join(lines) + "\n" + (f"\n{more} more rows are not shown.\n" if more else "")

@@ -53,3 +53,27 @@ def test_annotations_of_a_folder(spark, tmp_path):
     (tmp_path / "annotations.jsonl").write_text('{"item_id": "1", "label": "a"}\n{"item_id": "1", "label": "b"}\n{"item_id": "9", "label": "c"}\n')
     got = {r.item_id: r.label for r in files.annotations(spark, str(tmp_path), "item_id string, code string", "item_id string, label string").collect()}
     assert got == {"1": "b", "2": None}
+
+
+def test_checked_reads_and_order_in_files(spark, tmp_path):
+    good, bad = tmp_path / "a.jsonl", tmp_path / "b.jsonl"
+    good.write_text("".join(f'{{"k": "x{i % 3}", "raw_output": "v{i}"}}\n' for i in range(50)))
+    bad.write_text('{"k": "x"}\n\nnot json\n')
+    schema = "k string, raw_output string"
+    with pytest.raises(files.BadInput, match="b.jsonl:3"):
+        files.jsonl(spark, [str(good), str(bad)], schema, checked=True)
+    assert files.jsonl(spark, str(good), schema, checked=True).count() == 50
+    rows = spark.createDataFrame([("x0",), ("x1",), ("x2",)], "k string")
+    assert {r.k: r.raw_output for r in files.replay(spark, rows, str(good), schema, "k").collect()} == {"x0": "v48", "x1": "v49", "x2": "v47"}
+    assert files.jsonl(spark, str(tmp_path / "none"), schema, optional=True, order_column="_at").count() == 0
+
+
+def test_documents_say_what_they_leave_out(spark):
+    from lodestack.operators import documents
+
+    df = spark.createDataFrame([(f"i{i}", "<b>" if i else None) for i in range(5)], "item string, text string")
+    assert "3 more rows" in sinks.markdown(df, 2) and "more rows" not in sinks.markdown(df, 5)
+    assert "4 more items" in documents.packet(df, "item", ["text"], ["a"], 1)
+    page = documents.html_index(df, "item", ["text"], 2)
+    assert "&lt;b&gt;" in page and "<b>" not in page and "3 more items" in page
+    assert documents.annotation_schema(["a", "b"])["properties"]["label"]["enum"] == ["a", "b", None]
