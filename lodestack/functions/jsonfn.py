@@ -62,6 +62,95 @@ def truncated_items(text: str, key: str) -> list:
     return [x for x in map(load, balanced(text[m.end() :])) if x is not None] if m else []
 
 
+#: Keys under which a suite holds its tests.
+SUITE_KEYS = ("tests", "cases", "test_cases")
+
+
+def inner_objects(text: str) -> list[str]:
+    """All {...} parts of a text at every depth, in the order of their beginnings."""
+    open_, found, quote, skip = [], [], False, False
+    for i, c in enumerate(text):
+        if skip:
+            skip = False
+        elif quote:
+            skip, quote = c == "\\", c != '"'
+        elif c == '"' and open_:
+            quote = True
+        elif c == "{":
+            open_.append(i)
+        elif c == "}" and open_:
+            start = open_.pop()
+            found.append((start, text[start : i + 1]))
+    return [t for _, t in sorted(found)]
+
+
+def case_of(raw: Any) -> dict | None:
+    """A test as {args, expected}: arguments under args, input or inputs, one that isn't a list as a list of one; None without an expectation."""
+    if not isinstance(raw, dict):
+        return None
+    given = next((raw[k] for k in ("args", "input", "inputs") if k in raw), None)
+    wanted = next((raw[k] for k in ("expected", "output", "expected_output") if k in raw), ...)
+    if given is None or wanted is ...:
+        return None
+    return {"args": given if isinstance(given, list) else [given], "expected": wanted}
+
+
+def suite_of(text: str | None, most: int = 50) -> dict:
+    """(fn_name, tests, status) of a generated suite: an object with tests, else the tests that stand in a text that breaks off; equal tests count once."""
+    text = text or ""
+    holders = [o for part in [text, *_FENCED.findall(text), *reversed(balanced(text))] if isinstance(o := load(part), dict)]
+    suite = next((o for o in holders if any(k in o for k in SUITE_KEYS)), None)
+    if suite is not None:
+        raw, status = next((suite[k] for k in SUITE_KEYS if k in suite), []), "suite"
+    else:
+        raw, status = [o for part in inner_objects(text) if isinstance(o := load(part), dict)], "recovered"
+    tests = {canonical(c): c for x in (raw if isinstance(raw, list) else []) if (c := case_of(x)) is not None}
+    name = (suite or {}).get("fn_name") or next(iter(re.findall(r"""["']fn_name["']\s*:\s*["']([^"']+)["']""", text)), "")
+    kept = list(tests.values())[:most]
+    return {"fn_name": str(name).strip(), "tests": kept, "status": status if kept else "no_tests"}
+
+
+def candidates_of(texts: list[str | None]) -> list[dict]:
+    """Categories in models' answers: of an object with a list of categories each with an id, of an object with an id itself; others give none."""
+    out = []
+    for t in texts:
+        o = find_object(t, ("categories", "id")) or {}
+        listed = o.get("categories") if isinstance(o.get("categories"), list) else [o]
+        out += [c for c in listed if isinstance(c, dict) and c.get("id")]
+    return out
+
+
+def anchors_of(value: Any, fallback: dict[str, str]) -> tuple[dict[str, str], list[str]]:
+    """The anchors of a score, texts for the fallback's keys, and the keys that had to be filled."""
+    source = {str(k): " ".join(str(v or "").split()) for k, v in value.items()} if isinstance(value, dict) else {}
+    filled = [k for k in sorted(fallback) if not source.get(k)]
+    return {k: source.get(k) or fallback[k] for k in sorted(fallback)}, filled
+
+
+def listed(value: Any, fallback: list[str], least: int = 1) -> list[str]:
+    """A list of distinct texts, filled up from the fallback to ``least``; a bare text is a list of one."""
+    given = [value] if isinstance(value, str) else value if isinstance(value, list) else []
+    out = list(dict.fromkeys(t for x in given if (t := " ".join(str(x).split()))))
+    return out + [x for x in fallback if x not in out][: max(0, least - len(out))]
+
+
+#: Fields of a verifier's diagnostics that may be shown, and their names outside.
+SHOWN = {"diagnostic_kind": "diagnostic_kind", "first_failure_kind": "first_failure_kind", "first_actual": "observed_value_shape", "first_expected": "reference_value_shape", "exception_type": "exception_type", "syntax_error_type": "syntax_error_type"}
+
+
+def safe_diagnostics(fields: dict[str, Column]) -> Column:
+    """A map of the diagnostics that may be shown; columns named as in SHOWN, nulls are left out."""
+    pairs = F.array(*(F.struct(F.lit(SHOWN[k]).alias("k"), c.cast("string").alias("v")) for k, c in fields.items() if k in SHOWN))
+    return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
+
+
+@F.pandas_udf(T.StructType([T.StructField("fn_name", T.StringType()), T.StructField("tests", T.StringType()), T.StructField("test_count", T.IntegerType()), T.StructField("status", T.StringType())]))
+def parsed_suite(texts: pd.Series) -> pd.DataFrame:
+    """The suite in each text, its tests as a JSON list."""
+    rows = [suite_of(t) for t in texts]
+    return pd.DataFrame({"fn_name": [r["fn_name"] for r in rows], "tests": [json.dumps(r["tests"], ensure_ascii=False) for r in rows], "test_count": pd.Series([len(r["tests"]) for r in rows], dtype="int32"), "status": [r["status"] for r in rows]})
+
+
 def canonical(value: Any) -> str:
     """One text for equal values: sorted keys, tuples as lists, sets sorted, whole floats as integers."""
     def plain(v: Any) -> Any:

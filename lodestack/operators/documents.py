@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestack.functions import text as T
+from lodestack.functions.jsonfn import anchors_of
 
 #: What each score of a dimension says.
 ANCHORS = {"1": "absent or wrong throughout", "2": "wrong in most cases", "3": "right in common cases only", "4": "right but for rare cases", "5": "right throughout"}
@@ -85,3 +86,37 @@ def low_dimensions(scores: Column, least: int) -> Column:
     """The applicable dimensions with a score below ``least``, by name."""
     low = F.map_filter(scores, lambda _, d: F.coalesce(d["applicable"], F.lit(False)) & (d["score"] < least))
     return F.array_sort(F.map_keys(low))
+
+
+def taxonomy_faults(taxonomy: dict[str, Any]) -> list[str]:
+    """What keeps a taxonomy of categories with refined rubrics from becoming a rubric; [] if nothing does."""
+    categories = taxonomy.get("categories")
+    if not isinstance(categories, list) or not categories:
+        return ["no_categories"]
+    ids = [str(c.get("id") or "") for c in categories]
+    out = ["empty_id"] * (not all(ids)) + [f"repeated_id:{x}" for x in sorted({x for x in ids if x and ids.count(x) > 1})]
+    for c in categories:
+        anchors = (c.get("refined_rubric") or {}).get("score_anchors") if isinstance(c.get("refined_rubric"), dict) else None
+        if c.get("id") and (not isinstance(anchors, dict) or set(map(str, anchors)) != set(ANCHORS)):
+            out.append(f"anchors:{c['id']}")
+    return out
+
+
+def rubric_from_taxonomy(taxonomy: dict[str, Any], written: dict[str, Any] | None = None, threshold: float = 3.5) -> dict[str, Any]:
+    """A rubric with a dimension a category, weighted by its failures: the refined texts where they are whole, else the usual anchors; a model's ``written`` rubric may replace texts but no dimension, weight or rule.  ``audit`` lists what was filled or refused."""
+    categories = [c for c in taxonomy.get("categories") or [] if c.get("id")]
+    total = sum(int(c.get("rows") or 0) for c in categories) or 1
+    theirs = {str(d.get("id")): d for d in (written or {}).get("dimensions", []) if isinstance(d, dict)}
+    dimensions, audit = [], taxonomy_faults(taxonomy)
+    for c in categories:
+        refined = c.get("refined_rubric") if isinstance(c.get("refined_rubric"), dict) else {}
+        source = theirs.get(str(c["id"]), {}).get("anchors") or refined.get("score_anchors")
+        anchors, filled = anchors_of(source, ANCHORS)
+        audit += [f"filled:{c['id']}:{k}" for k in filled]
+        dimensions.append({"id": str(c["id"]), "weight": round(int(c.get("rows") or 0) / total, 4), "definition": _plain(theirs.get(str(c["id"]), {}).get("definition") or refined.get("definition") or c.get("name")), "anchors": anchors})
+    audit += [f"refused:{x}" for x in sorted(set(theirs) - {d["id"] for d in dimensions})]
+    return {"dimensions": dimensions, "aggregation": {"method": "weighted_mean", "pass_threshold": threshold, "critical": [d["id"] for d in dimensions if d["weight"] >= 0.25]}, "audit": audit}
+
+
+def _plain(text: Any) -> str:
+    return " ".join(str(text or "").split())

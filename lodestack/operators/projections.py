@@ -60,11 +60,13 @@ def revision(findings: Column, code: Column) -> Column:
     return F.concat(F.lit("ERROR_FINDINGS:\n"), F.array_join(F.transform(findings, lambda f: F.concat(F.lit("- "), f)), "\n"), F.lit("\nREVISED_CODE:\n"), X.strip(code))
 
 
-def findings(text: Column, most: int) -> Column:
-    """The first distinct findings of a critic's answer, without bullets."""
+def findings(text: Column, most: int, fallback: Column | None = None) -> Column:
+    """The first distinct findings of a critic's answer, without bullets; with ``fallback``, an array, filled up from it."""
     head = F.split(text, r"(?im)^\s*REVISED_CODE\s*:")[0]
     lines = F.filter(F.split(F.regexp_replace(head, r"(?im)^\s*ERROR_FINDINGS\s*:", ""), "\n"), lambda x: F.trim(x) != "")
-    return F.slice(F.array_distinct(F.transform(lines, lambda x: X.strip(F.regexp_replace(x, r"^\s*(?:[-*•]|\d+[.)])\s*", "")))), 1, most)
+    found = F.transform(lines, lambda x: X.strip(F.regexp_replace(x, r"^\s*(?:[-*•]|\d+[.)])\s*", "")))
+    found = found if fallback is None else F.concat(F.coalesce(found, F.array().cast("array<string>")), fallback)
+    return F.slice(F.array_distinct(found), 1, most)
 
 
 
@@ -118,3 +120,15 @@ def feedback(function: Column, results: Column, most: int) -> Column:
     lines = F.transform(F.slice(failed, 1, most), lambda r: F.concat(F.lit("- case "), (r["index"] + 1).cast("string"), F.lit(": "), F.coalesce(r["error"], F.lit("wrong result"))))
     head = F.concat(F.lit("Cases of "), F.coalesce(function, F.lit("the program")), F.lit(" that fail: "), F.size(failed).cast("string"))
     return F.when(F.size(failed) > 0, F.array_join(F.concat(F.array(head), lines), "\n"))
+
+
+def gate_rows(failed: DataFrame, known: DataFrame, total: int, salt: str) -> DataFrame:
+    """Rows that bring a held-out gate to ``total`` problems: of failed answers to problems that ``known`` (id) lacks, one a problem, in salted order of the problems; prompts without an answer."""
+    pool = failed.join(known.select("id").distinct(), "id", "left_anti")
+    first = pool.groupBy("id").agg(F.min_by(F.struct(*pool.columns), "response_id").alias("r")).select("r.*")
+    missing = max(0, total - known.select("id").distinct().count())
+    order = H.salted_order(F.col("id"), salt)
+    chosen = first.orderBy(order, "id").limit(missing)
+    code = X.normalize_code(X.or_else(F.col("generated_code"), F.col("extracted_code")))
+    prompt_ = F.concat(F.lit("Public task prompt:\n"), F.coalesce("prompt", F.lit("")), F.lit("\n\nFailed code:\n"), code)
+    return chosen.select(F.concat(F.col("id"), F.lit("__gate")).alias("id"), F.col("id").alias("problem_id"), F.lit("validation").alias("split"), F.lit("critic_repair").alias("task_type"), prompt_.alias("prompt"), F.lit("").alias("completion"), F.lit("gate_expansion").alias("source"), F.col("response_id").alias("rejected_response_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestack.functions import jsonfn as N, pyast as Y, text as T
-from lodestack.operators import execute as E, projections as P, prompts as R, scoring as S, taxonomy as L
+from lodestack.operators import execute as E, filters as W, projections as P, prompts as R, scoring as S, taxonomy as L
 from lodestack.plans.tables import FAILURES, JUDGMENTS, PROBLEMS, RESPONSES, SFT, derived, judgments, once, problems, responses
 
 QUERIES: dict = {}
@@ -263,3 +263,55 @@ def assert_executions(spark, d):
     each = F.transform(F.arrays_zip("c.inputs", "c.outputs"), lambda x: F.concat(F.lit("assert "), F.col("c.fn_name"), F.lit("("), F.array_join(x["inputs"], ", "), F.lit(") == "), x["outputs"]))
     run = E.adapted(rows, {"dataset": F.lit("mbpp"), "code": F.col("canonical_solution"), "asserts": each, "names": F.array("c.fn_name")}, timeout=2.0)
     return run.select("id", "run.passed", "run.failure_type", "run.first_kind", "run.test_count", "run.pass_count")
+
+
+_FN = "json_extract_string(case when starts_with(trim(t), '{') then t end, '$.fn_name')"
+
+
+@query(f"""select reason, training, count(*) as rows from (select case when coalesce(r.io_mode, '') <> 'function_call' then 'io_mode_not_function_call' when trim(coalesce({_FN}, '')) = '' then 'missing_fn_name' when trim(coalesce(p.canonical_solution, '')) = '' then 'missing_canonical_solution' when trim(coalesce(r.extracted_code, '')) = '' then 'missing_previous_repair_code' end as reason,
+ coalesce(regexp_matches(r.split, '^train$|[/_]train$|/train/'), false) as training from {RESPONSES} r join (select *, case when starts_with(trim(input_output), '"') then input_output::json ->> '$' else input_output end as t from {PROBLEMS}) p on r.id = p.id where {_FAILED}) group by all""")
+def fit_for_tests(spark, d):
+    """Which failed answers can get generated tests, and which of them are training data."""
+    r = responses(spark, d, "id", "split", "passed", "io_mode", "extracted_code").where("not coalesce(passed, false)")
+    p = problems(spark, d, "canonical_solution", "input_output").select("id", "canonical_solution", F.get_json_object(N.unwrapped(F.col("input_output")), "$.fn_name").alias("fn"))
+    rows = r.join(p, "id")
+    reason = W.unfit_for_tests(F.col("io_mode"), F.col("fn"), F.col("canonical_solution"), F.col("extracted_code"))
+    return rows.select(reason.alias("reason"), W.from_training(F.col("split")).alias("training")).groupBy("reason", "training").agg(F.count("*").alias("rows"))
+
+
+@query(f"""select task_type, case when coalesce(eval_split, 'train') = 'train' then task_type in ('critic_repair', 'single_judge') else task_type = 'single_judge' end as allowed, count(*) as rows from {SFT} where task_type is not null group by all""")
+def allowed_task_types(spark, d):
+    rows = once(spark, d, "sft_records", "id", "eval_split", "task_type").where("task_type is not null")
+    allowed = W.task_type_allowed(F.coalesce("eval_split", F.lit("train")), F.col("task_type"), ("critic_repair", "single_judge"), ("single_judge",))
+    return rows.groupBy("task_type", allowed.alias("allowed")).agg(F.count("*").alias("rows"))
+
+
+@query(f"""with known as (select distinct id from problems where eval_split is not null and id is not null), pool as (select r.*, p.prompt from {RESPONSES} r join {PROBLEMS} p on r.id = p.id where {_FAILED} and r.id not in (select id from known)),
+ one as (select * from pool qualify row_number() over (partition by id order by response_id) = 1), n as (select greatest(0, (select count(*) from known) + 20 - (select count(*) from known)) as n)
+ select id || '__gate' as id, id as problem_id, response_id as rejected_response_id from one qualify row_number() over (order by sha256('gate:' || id), id) <= 20""")
+def gate_expansion(spark, d):
+    """Twenty more problems for the held-out gate, from failed answers to problems outside it."""
+    known = problems(spark, d, "eval_split").where("eval_split is not null").select("id")
+    failed = responses(spark, d, "id", "passed", "generated_code", "extracted_code").where("not coalesce(passed, false)").join(problems(spark, d, "prompt"), "id")
+    rows = P.gate_rows(failed, known, known.distinct().count() + 20, "gate")
+    return rows.select("id", "problem_id", "rejected_response_id")
+
+
+@query(f"select response_id, map_from_entries(list_filter([('diagnostic_kind', failure_type), ('exception_type', nullif(regexp_extract(coalesce(error, ''), '^(\\w*Error)', 1), '')), ('first_failure_kind', finish_reason)], lambda x: x[2] is not null)) as shown from {RESPONSES} r where {_FAILED}")
+def shown_diagnostics(spark, d):
+    """What of a verifier's diagnostics may be shown; here the record's own labels stand for them."""
+    r = responses(spark, d, "passed", "failure_type", "error", "finish_reason").where("not coalesce(passed, false)")
+    fields = {"diagnostic_kind": F.col("failure_type"), "exception_type": F.nullif(F.regexp_extract(F.coalesce("error", F.lit("")), r"^(\w*Error)", 1), F.lit("")), "first_failure_kind": F.col("finish_reason"), "stderr": F.col("error")}
+    return r.select("response_id", N.safe_diagnostics(fields).alias("shown"))
+
+
+@query()
+def parsed_suites(spark, d):
+    """Suites written out as a model would, some broken off, and read back."""
+    t = N.unwrapped(F.col("input_output"))
+    case = F.from_json(t, "inputs array<array<string>>, outputs array<string>, fn_name string")
+    rows = problems(spark, d, "input_output").where("input_output is not null").select("id", case.alias("c")).where("c.fn_name is not null")
+    tests = F.transform(F.arrays_zip("c.inputs", "c.outputs"), lambda x: F.struct(x["inputs"].alias("args"), x["outputs"].alias("expected")))
+    text = F.concat(F.lit("Here are tests:\n```json\n"), F.to_json(F.struct(F.col("c.fn_name").alias("fn_name"), tests.alias("tests"))), F.lit("\n```"))
+    raw = F.when(F.length("id") % 2 == 0, text).otherwise(F.substring(text, F.lit(1), F.length(text) * 3 / 4))
+    return rows.select("id", N.parsed_suite(raw).alias("s")).select("id", "s.fn_name", "s.test_count", "s.status")

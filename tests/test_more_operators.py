@@ -4,8 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from lodestack.functions import pyast, text as T
-from lodestack.operators import execute as E, judging as JU
+from lodestack.functions import jsonfn, pyast, text as T
+from lodestack.operators import documents as D, execute as E, filters as W, judging as JU, prompts as R, scoring as S, taxonomy as L
 
 UNIT = "import unittest\nclass TestCases(unittest.TestCase):\n    def test_a(self):\n        self.assertEqual(f(1), 2)"
 CHECK = "def check(c):\n    assert c(1) == 2"
@@ -124,3 +124,58 @@ def test_prefixes_and_harness():
     assert pyast.without_harness(code) == "def f(a):\n    return a" and "def main" in pyast.without_harness("def main():\n    pass\nmain()")
     got = pyast.revised_code("x\nREVISED_CODE:\nPython code:\ndef f():\n    return 1\nHere is why")
     assert got["code"] == "def f():\n    return 1" and "prose_cut" in got["notes"]
+
+
+def test_suites_in_models_answers():
+    whole = 'Sure:\n```json\n{"fn_name": "f", "tests": [{"args": [1], "expected": 2}, {"input": 3, "output": 4}, {"args": [1], "expected": 2}, {"args": [1]}, 7]}\n```'
+    got = jsonfn.suite_of(whole)
+    assert got == {"fn_name": "f", "tests": [{"args": [1], "expected": 2}, {"args": [3], "expected": 4}], "status": "suite"}
+    cut = jsonfn.suite_of(whole[: whole.index('{"args": [1]}')])
+    assert cut["status"] == "recovered" and cut["fn_name"] == "f" and len(cut["tests"]) == 2
+    assert jsonfn.suite_of(None) == {"fn_name": "", "tests": [], "status": "no_tests"} == jsonfn.suite_of("no json {")
+    assert jsonfn.suite_of("{'cases': [{'args': (1,), 'expected': None}]}")["tests"] == [{"args": [(1,)], "expected": None}]
+
+
+def test_categories_anchors_and_rubrics():
+    assert [c["id"] for c in jsonfn.candidates_of(['{"categories": [{"id": "a"}, {"x": 1}]}', 'text {"id": "b"}', None, "[]"])] == ["a", "b"]
+    assert jsonfn.anchors_of({1: " one ", "2": ""}, {"1": "x", "2": "y"}) == ({"1": "one", "2": "y"}, ["2"]) and jsonfn.anchors_of(None, {"1": "x"})[1] == ["1"]
+    assert jsonfn.listed("a", ["a", "b", "c"], 2) == ["a", "b"] and jsonfn.listed([" x ", "x", ""], []) == ["x"]
+    anchors = {k: f"level {k}" for k in "12345"}
+    taxonomy = {"categories": [{"id": "a", "rows": 3, "refined_rubric": {"score_anchors": anchors, "definition": "d"}}, {"id": "b", "rows": 1}]}
+    assert D.taxonomy_faults(taxonomy) == ["anchors:b"] and D.taxonomy_faults({}) == ["no_categories"]
+    doc = D.rubric_from_taxonomy(taxonomy, {"dimensions": [{"id": "b", "anchors": {"1": "mine"}}, {"id": "z"}]})
+    assert D.rubric_problems(doc) == [] and doc["dimensions"][1]["anchors"]["1"] == "mine" and "refused:z" in doc["audit"] and doc["aggregation"]["critical"] == ["a", "b"]
+    assert R.compact_rubric(doc)["dimensions"][0]["anchors"] == anchors and R.compact_examples([{"passed": True, "text": "x" * 999}], 1, 10) == [{"text": "x" * 7 + "..."}]
+    for kind, n in (("auto", 2), ("generic", 1), ("random", 2)):
+        made = S.static_rubric(kind, ["a", "b"])
+        assert len(made["dimensions"]) == n and abs(sum(d["weight"] for d in made["dimensions"]) - 1) < 1e-3 and D.rubric_problems(made) == []
+    assert "rejected (short)" in R.refinement_prompt({"id": "a", "examples": ["x"]}, {"id": "a"}, ["short"]) and "- a (3 failures): x" in R.consolidation_prompt([{"name": "a", "rows": 3, "examples": ["x"]}], 2, 4)
+
+
+def test_filters(spark):
+    df = spark.createDataFrame([("train",), ("apps/train",), ("x_train",), ("a/train/b",), ("test",), ("training",), (None,)], "s string")
+    assert [r[0] for r in df.select(W.from_training(F.col("s"))).collect()] == [True, True, True, True, False, False, False]
+    kinds = spark.createDataFrame([("train", "a"), ("train", "b"), ("test", "b"), (None, "a")], "s string, k string")
+    assert [r[0] for r in kinds.select(W.task_type_allowed(F.col("s"), F.col("k"), ("a",), ("b",))).collect()] == [True, False, True, False]
+    assert kinds.where(W.of_category(F.col("k"), "a")).count() == 2 and kinds.where(W.of_category(F.col("k"), None)).count() == 4
+
+
+def test_scores_without_a_judge(spark):
+    df = spark.createDataFrame([("def f(a):\n    return re.sub('a', 'b', a)", True, ["f"]), ("pass", True, None), (None, None, ["f"])], "c string, p boolean, n array<string>")
+    got = df.select(S.code_checks(F.col("c"), F.col("p"), F.col("n")).alias("k")).select("k.*", S.fallback_scores(F.col("k"), ["runtime_api_type_misuse", "edge"]).alias("s")).collect()
+    assert [(r.parse_ok, r.interface_ok, r.missing_dep, r.stub) for r in got] == [(True, True, True, False), (True, True, False, True), (False, False, False, False)]
+    assert [r.s for r in got] == [{"runtime_api_type_misuse": 2, "edge": 4}, {"runtime_api_type_misuse": 4, "edge": 1}, {"runtime_api_type_misuse": 2, "edge": 2}]
+    one = spark.range(1).select(S.deterministic_score({"fence": F.lit(True)}, F.lit(False), F.lit("logic_error")).alias("s")).first().s
+    assert one.scores["code_only_response_discipline"] == 2 and one.overall == 3.0 and not one.predicted_pass and one.reasons[-1].endswith("logic_error")
+
+
+def test_categories_are_split_and_merged(spark):
+    rows = [("a", "p")] * 6 + [("a", "q")] * 4 + [("b", "p")] * 3 + [("c", None)] * 2 + [(None, "p")]
+    df = spark.createDataFrame(rows, "c string, p string")
+    out = {r["operational"]: r["count"] for r in L.resized_categories(df, "c", "p", 1, 3).groupBy("operational").count().collect()}
+    assert out == {"a__p": 6, "a__q": 4, "other": 6} and L.resized_categories(df.limit(0), "c", "p", 1, 3).count() == 0
+    names = L.named_clusters(spark.createDataFrame([("x", "stale cache cache value"), ("x", "stale cache again"), ("y", None), ("z", "wrong index value")], "k string, t string"), "k", "t", 2)
+    assert {r.cluster: r.name for r in names.collect()}["x"] == "discovered_cache_stale" and {r.cluster: r.name for r in names.collect()}["y"] == "unlabeled"
+    c = spark.createDataFrame([("k", "1", "the loop stops one step before the end of it", "off by one errors here", "all other errors here", "check the last index used"), ("k", "2", "various issues", None, "x", "expected_output shown")], "cat string, id string, a string, b string, c string, d string")
+    best = L.best_definitions(c, "cat", "id", {"definition": F.col("a"), "include": F.col("b"), "exclude": F.col("c"), "checks": F.col("d")}).collect()
+    assert [(r.id, r.quality.score, r.accepted) for r in best] == [("1", 100, True)]
