@@ -277,6 +277,17 @@ def paired_bootstrap(spark, d):
     return P.bootstrap_difference(_runs(spark, d), F.col("base_passed"), F.col("candidate_passed"))
 
 
+@query("select count(*) as rows, 20000 as iterations, true as covers, true as near_normal from lineitem")
+def paired_bootstrap_bounds(spark, d):
+    """Whether the bootstrap's interval covers the difference seen, and is within a tenth as wide as the normal one."""
+    runs = _runs(spark, d)
+    gain = F.col("candidate_passed").cast("int") - F.col("base_passed").cast("int")
+    seen = runs.agg(F.avg(gain).alias("gain"), (F.stddev_pop(gain) / F.sqrt(F.count("*"))).alias("error"))
+    both = P.bootstrap_difference(runs, F.col("base_passed"), F.col("candidate_passed")).crossJoin(seen)  # a row each
+    width = F.col("high") - F.col("low")
+    return both.select("rows", "iterations", ((F.col("low") <= F.col("gain")) & (F.col("gain") <= F.col("high"))).alias("covers"), (F.abs(width / (2 * 1.959964 * F.col("error")) - 1) < 0.1).alias("near_normal"))
+
+
 @query(f"""with t as (select model, count(*)::double as rows, count(*) filter (passed) as p from {RESPONSES} group by 1) select model, rows::bigint as rows, p as passed, round({_WILSON('p')[0]}, 8) as low, round({_WILSON('p')[1]}, 8) as high,
  ceil({_Z}**2 * (p / rows) * (1 - p / rows) / 0.0025)::bigint as rows_for_5_percent from t""")
 def wilson_ci(spark, d):

@@ -122,7 +122,11 @@ def stratified_sample(spark, d):
     return S.stratified(once(spark, d, "failures", "response_id", "failure_type"), "failure_type", "response_id", "s", 10).select("failure_type", "response_id")
 
 
-@query()
+@query(f"""with recursive r as (select response_id, id, failure_type, row_number() over (order by sha256('g:' || response_id), response_id) as n from {FAILURES} where id is not null and failure_type is not null),
+ g as (select 0::bigint as n, null::varchar as response_id, null::varchar as id, null::varchar as failure_type, false as taken, []::varchar[] as ids, []::varchar[] as kinds union all
+ select n, response_id, id, failure_type, ok, case when ok then list_append(ids, id) else ids end, case when ok then list_append(kinds, failure_type) else kinds end from (select r.n, r.response_id, r.id, r.failure_type, g.ids, g.kinds,
+ len(list_filter(g.ids, lambda x: x = r.id)) < 2 and len(list_filter(g.kinds, lambda x: x = r.failure_type)) < 50 as ok from g join r on r.n = g.n + 1))
+ select response_id, id, failure_type from g where taken""")
 def greedy_multi_cap(spark, d):
     """Failures in a salted order, two of a task and fifty of a type at most."""
     rows = once(spark, d, "failures", "response_id", "id", "failure_type").withColumn("o", H.salted_order(F.col("response_id"), "g"))

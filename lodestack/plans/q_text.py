@@ -152,7 +152,8 @@ def canonical_responses(spark, d):
     return P.exploded_solutions(rows, F.array("canonical_solution"), "id", 1).select("response_id", "generated_code")
 
 
-@query()
+@query(f"""with f as (select id, list_transform(list_filter(string_split(regexp_replace(regexp_split_to_array(completion, '(?im)^\\s*REVISED_CODE\\s*:')[1], '(?im)^\\s*ERROR_FINDINGS\\s*:', '', 'g'), chr(10)), lambda x: trim(x) <> ''), lambda x: trim(regexp_replace(x, '^\\s*(?:[-*•]|\\d+[.)])\\s*', ''), chr(10) || chr(13) || chr(9) || ' ')) as l from {SFT} where task_type = 'critic_repair')
+ select id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:3] as findings from f""")
 def findings_of_critics(spark, d):
     rows = once(spark, d, "sft_records", "id", "task_type", "completion").where("task_type = 'critic_repair'")
     return rows.select("id", P.findings(F.col("completion"), 3).alias("findings"))
