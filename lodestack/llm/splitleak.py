@@ -2,7 +2,8 @@
 
 Two texts agree to the threshold t only if they share t of the distinct runs of
 WIDTH words that either has.  All runs have one order, by the number of pairs
-of texts they would bring together: runs that one side lacks come first.  Of
+of texts that their bucket of runs would bring together (BUCKETS counters a
+side, whatever the data): runs that one side lacks come first.  Of
 a text's n runs the first n - ceil(t n) + 1 are kept, and two texts that agree
 have a kept run in common, wherever their words are changed, moved, added or
 dropped and however short they are.  Bitmaps of their runs bound from above what
@@ -12,7 +13,7 @@ edit distance by a banded dynamic programme over words: the band is the share of
 the longer text that the threshold leaves open, and links beyond it, whose
 sentences were moved, have none.
 
-Defined results: texts without three words match nothing; equal texts are
+Defined results: texts without WIDTH words match nothing; equal texts are
 joined once and expanded to their rows in the end; repeated rows count once;
 rows without key take no part.
 """
@@ -24,14 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from lodestack.durable import durable
 from lodestack.llm import grams as G
 
 WIDTH = 3
-#: Bits of a text's bitmap of runs.
-BITS = 512
+#: Bits of a text's bitmap of runs; counters of the runs' order.
+BITS, BUCKETS = 512, 1 << 20
 #: Lines of the prompt templates around a task; {} stands for anything.
 TEMPLATE_LINES = (
     r"You are an expert Python developer\. Work through the problem below\.",
@@ -64,12 +66,14 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.concatenate([[np.uint64(0)], np.cumsum(h, dtype=np.uint64)])
         ends = np.cumsum(counts)
         hashes = G.mix(total[ends] - total[ends - counts] + counts.astype(np.uint64)).view(np.int64)
-        runs, own, _ = G.grams(ids, counts, 3)
+        runs, own, _ = G.grams(ids, counts, WIDTH)
         key = np.unique((own.astype(np.uint64) << np.uint64(44)) | (runs >> np.uint64(20)))
         own, bit = (key >> np.uint64(44)).astype(np.int64), (key % np.uint64(BITS)).astype(np.int64)
         maps = np.zeros((len(pdf), BITS // 64), dtype=np.uint64)
         np.bitwise_or.at(maps, (own, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
-        yield pd.DataFrame({"key": pdf["key"], "text_id": hashes, "words": parts, "runs": np.bincount(own, minlength=len(pdf)), "bits": list(maps.view(np.int64))})
+        n = np.bincount(own, minlength=len(pdf))
+        flat = (key & np.uint64((1 << 44) - 1)).view(np.int64)
+        yield pd.DataFrame({"key": pdf["key"], "text_id": hashes, "words": parts, "runs": np.split(flat, np.cumsum(n)[:-1]) if len(pdf) else [], "bits": list(maps.view(np.int64))})
 
 
 def banded_distances(texts: list[tuple[np.ndarray, np.ndarray]], bands: np.ndarray) -> np.ndarray:
@@ -96,7 +100,7 @@ def banded_distances(texts: list[tuple[np.ndarray, np.ndarray]], bands: np.ndarr
     return np.minimum(out, bands + 1)
 
 
-def agreement(a: np.ndarray, b: np.ndarray, width: int = 3) -> float:
+def agreement(a: np.ndarray, b: np.ndarray, width: int = WIDTH) -> float:
     """Distinct runs of ``width`` words that both have, divided by those that either has."""
     x, y = (np.unique(G.grams(w.view(np.uint64), np.array([len(w)]), width)[0]) for w in (a, b))
     common = len(np.intersect1d(x, y, assume_unique=True))
@@ -123,25 +127,35 @@ def _verify(threshold: float):
     return run
 
 
-def _runs(texts: DataFrame) -> DataFrame:
-    """(text_id, n, run): the n distinct runs of a text."""
-    gram = lambda i: F.xxhash64(*(F.element_at("words", i + k) for k in range(WIDTH)))
-    fit = texts.where(F.size("words") >= WIDTH)
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - WIDTH + 1), gram))
-    return fit.select("text_id", runs.alias("runs")).select("text_id", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+def _counts(texts: DataFrame) -> np.ndarray:
+    """How many runs of the texts fall into each of BUCKETS."""
+    n = np.zeros(BUCKETS, dtype=np.int64)
+    rows = texts.select(F.explode("runs").alias("r")).groupBy(F.col("r").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).toArrow()  # at most BUCKETS rows
+    n[rows["b"].to_numpy()] = rows["n"].to_numpy()
+    return n
 
 
-def _kept(runs: DataFrame, shared: DataFrame, threshold: float) -> DataFrame:
-    """(text_id, n, run) of the runs that are first in the order; those that one side lacks come before all others and meet nothing."""
-    own = Window.partitionBy("text_id")  # a text's own runs
-    rows = runs.join(shared, "run").withColumn("m", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("pairs", "run")))
-    needed = F.ceil(F.col("n") * threshold - 1e-6)
-    return rows.where((F.col("m") >= needed) & (F.col("n") - F.col("m") + F.col("rank") <= F.col("n") - needed + 1)).select("text_id", "n", "run")
+def _kept(texts: DataFrame, pairs, threshold: float) -> DataFrame:
+    """(text_id, n, run) of the runs that are first in the order; those whose bucket one side lacks come before all others and meet nothing."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = pairs.value
+        for batch in batches:
+            lists = batch.column(1)
+            flat, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+            own = np.repeat(np.arange(len(n)), n)
+            f = often[flat & (BUCKETS - 1)]
+            order = np.lexsort((flat, f, own))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            first = n - np.ceil(n * threshold - 1e-6).astype(np.int64) + 1
+            keep = order[(place < first[own]) & (f[order] > 0)]
+            yield pa.record_batch([batch.column(0).take(pa.array(own[keep])), pa.array(n[own[keep]].astype(np.int32)), pa.array(flat[keep])], names=["text_id", "n", "run"])
+
+    return texts.select("text_id", "runs").mapInArrow(run, "text_id long, n int, run long")
 
 
 def _possible(met: DataFrame, et: DataFrame, tt: DataFrame, threshold: float) -> DataFrame:
     """Candidates whose bitmaps allow the threshold: common runs are at most the common bits and the runs that share a bit with others."""
-    bits = lambda df, k: df.select(F.col("text_id").alias(k), F.col("runs").alias(f"{k}n"), F.col("bits").alias(f"{k}b"), (F.col("runs") - sum((F.bit_count(F.col("bits")[i]) for i in range(BITS // 64)), F.lit(0))).alias(f"{k}c"))
+    bits = lambda df, k: df.select(F.col("text_id").alias(k), F.size("runs").alias(f"{k}n"), F.col("bits").alias(f"{k}b"), (F.size("runs") - sum((F.bit_count(F.col("bits")[i]) for i in range(BITS // 64)), F.lit(0))).alias(f"{k}c"))
     both = met.join(bits(et, "e"), "e").join(bits(tt, "t"), "t")
     common = sum((F.bit_count(F.col("eb")[i].bitwiseAND(F.col("tb")[i])) for i in range(BITS // 64)), F.lit(0)) + F.least("ec", "tc")
     return durable(both.where(common >= (F.col("en") + F.col("tn")) * (threshold / (1 + threshold)) - 1e-9).select("e", "t"), "candidates")
@@ -149,16 +163,14 @@ def _possible(met: DataFrame, et: DataFrame, tt: DataFrame, threshold: float) ->
 
 def cross_split(evaluation: DataFrame, training: DataFrame, key: str, text: str, threshold: float = 0.65) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(evaluation members, training members, links): members are (key, text_id), links (e, t, edits, similarity) between texts; ``edits`` is null for texts with moved parts."""
-    schema = "key string, text_id long, words array<long>, runs int, bits array<long>"
-    pick = lambda df: durable(df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key is not null").mapInPandas(_words, schema).where(F.size("words") >= 3), "words")
+    schema = "key string, text_id long, words array<long>, runs array<long>, bits array<long>"
+    pick = lambda df: durable(df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key is not null").mapInPandas(_words, schema).where(F.size("words") >= WIDTH), "words")
     ev, tr = pick(evaluation), pick(training)
     texts = lambda df: df.dropDuplicates(["text_id"]).select("text_id", "words", "runs", "bits")
     et, tt = durable(texts(ev), "texts"), durable(texts(tr), "texts")
 
-    er, tr_ = _runs(et), _runs(tt)
-    count = lambda df, name: df.groupBy("run").agg(F.count("*").alias(name))
-    shared = durable(count(er, "en").join(count(tr_, "tn"), "run").select("run", (F.col("en") * F.col("tn")).alias("pairs")), "runs")
-    a, b = _kept(er, shared, threshold).alias("a"), _kept(tr_, shared, threshold).alias("b")
+    pairs = ev.sparkSession.sparkContext.broadcast(_counts(et) * _counts(tt))  # BUCKETS numbers
+    a, b = _kept(et, pairs, threshold).alias("a"), _kept(tt, pairs, threshold).alias("b")
     near = (F.col("a.n") >= F.col("b.n") * threshold - 1e-6) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-6)
     met = a.join(b, F.col("a.run") == F.col("b.run")).where(near).select(F.col("a.text_id").alias("e"), F.col("b.text_id").alias("t")).distinct()
     met = _possible(met, et, tt, threshold)
