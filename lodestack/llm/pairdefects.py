@@ -37,7 +37,7 @@ from lodestack.operators.joins import hot_joined
 
 LABELS = ("empty", "truncated", "refusal", "copy", "other_language")
 #: Sound pairs of each source to train on, the most rows made of one, hashed dimensions, rounds of the fit; share of rows without n-grams.
-SAMPLE, VARIANTS, DIMENSIONS, ROUNDS = 1000, 10, 1 << 15, 150
+SAMPLE, VARIANTS, DIMENSIONS, ROUNDS = 1000, 11, 1 << 15, 150
 MUTED = 1 / 4
 #: Frequent words by language.
 WORDS_OF = {
@@ -257,24 +257,21 @@ class Model:
 #: A grammar of synthetic refusals: every alternative of a part goes with every alternative of the next; {1} is a word of the prompt.
 _REFUSAL = {
     "en": (
-        ("I'm sorry, but", "Sorry,", "I apologize, but", "Unfortunately,", "Regrettably,", "With all regret,", "I'm afraid", "Thank you for asking, but", "Thanks, but", "Hello!", "To be honest,", "To be clear,", "After thinking it over,", "Having thought about it,", "With respect,", "As an AI,", "As a language model,", ""),
+        ("I'm sorry, but", "Sorry,", "I apologize, but", "Unfortunately,", "Regrettably,", "I'm afraid", "Thank you for your question, but", "As an AI,", "As a language model,", "No:", ""),
         (
-            (("I", "we"), ("cannot", "can't", "could not", "am not able to", "am unable to", "do not", "don't", "won't", "will not", "would not", "would rather not", "prefer not to", "must decline to", "have to decline to", "refuse to", "am not allowed to", "may not", "have no permission to"), ("help with", "write", "answer", "provide", "produce", "solve", "complete", "supply", "give out", "hand out", "discuss", "work on", "take on", "take part in", "share", "do"), ("this", "that", "it", "this request", "this task", "this question", "this program", "the code", "a solution", "such exercises", "tasks like this", "work like this", "questions about {1}", "a program for {1}", "the {1} task", "your exercise", "{1}")),
-            (("this request", "this", "that", "the question", "the {1} question", "this task", "such a program"), ("falls outside", "lies outside", "is beyond", "goes beyond", "is outside", "is not part of"), ("of what I may do", "what I can answer", "what I am able to do", "my rules", "my guidelines", "of my limits")),
-            (("no answer", "no solution", "no program", "no code", "nothing"), ("will be given", "will be provided", "will come", "is provided", "can be given", "will be written"), ("here", "from me", "by me", "on my side", "for {1}", "to this question")),
-            (("there will be no", "you will get no", "do not expect a"), ("answer", "solution", "program", "{1}", "code"), ("from me", "here", "on my part")),
-            (("you will have to", "you will need to", "you must", "please", "you had better"), ("solve", "work out", "write", "do", "find", "finish"), ("this", "that", "{1}", "it", "the exercise"), ("yourself", "on your own", "without me", "by yourself")),
-            (("my guidelines", "my rules", "my principles", "the policy", "my instructions"), ("prevent me from", "keep me from", "stop me from", "do not let me go on", "forbid me"), ("answering", "helping", "writing this", "giving the solution", "handing out code", "finishing programs")),
-            (("it would be wrong", "it would not be right", "it is not right", "it is not possible", "it is not appropriate"), ("for me to",), ("answer this", "write this code", "give you the solution", "help here", "supply a program", "do your exercise")),
-            (("this", "that", "the {1} task", "this one", "your request"), ("is something", "is nothing", "is one of the things", "must remain something"), ("I do not do", "I won't write", "I would rather not do", "I can help with", "I have to pass on", "I leave open", "unsolved")),
-            (("I have to", "I must", "I will", "I'd rather", "I"), ("pass on", "decline", "refuse", "turn down", "skip", "leave out"), ("this one", "this request", "the question about {1}", "the {1} question", "that", "the task")),
-            (("answering", "completing", "writing", "solving", "doing"), ("exercises", "homework", "this", "assignments", "such programs", "{1}"), ("is not something", "is nothing", "isn't something"), ("I do", "I take part in", "I can do", "I am allowed to do")),
+            (("I", "we"), ("cannot", "can't", "could not", "am not able to", "am unable to", "do not", "don't", "won't", "will not", "would rather not", "prefer not to", "must decline to", "have to decline to", "refuse to", "am not allowed to", "may not"), ("help with", "assist with", "write", "answer", "provide", "produce", "solve", "complete", "give", "discuss", "work on", "share", "do"), ("this", "that", "it", "this request", "this task", "this question", "this program", "the code", "a solution", "your assignment", "tasks like this", "a question about {1}", "a program for {1}", "{1}")),
+            (("this", "this request", "the question", "this task", "your request"), ("is outside", "is beyond", "goes beyond", "is not within"), ("what I can do", "what I am able to answer", "my abilities", "my scope", "what I am allowed to do")),
+            (("no answer", "no solution", "no code"), ("is available", "can be given", "can be provided", "is possible"), ("here", "from me", "for this request", "for {1}")),
+            (("please", "you should", "you will have to"), ("solve", "write", "do", "try"), ("this", "{1}", "the exercise"), ("yourself", "by yourself", "without my help")),
+            (("my guidelines", "my rules", "the policy", "my instructions"), ("prevent me from", "forbid me from", "stop me from"), ("answering", "helping", "writing this", "giving solutions", "discussing {1}")),
+            (("it is not appropriate", "it is not possible", "it would be against the rules", "it is not right"), ("for me to",), ("answer this", "write this code", "help with this", "provide a solution", "do this for you")),
+            (("I",), ("decline", "refuse", "must decline", "have to refuse", "reject"), ("this request", "this task", "the request", "to answer", "to do this")),
         ),
-        ("Please ask somebody else.", "Please consult a teacher.", "Please contact your instructor.", "A colleague may be able to help.", "Perhaps another person could look at it.", "Feel free to ask something else.", "Feel free to rephrase the question.", "Let me know if I can help in another way.", "", "", ""),
+        ("Please ask someone else.", "Please contact support.", "Is there anything else I can help you with?", "I hope you understand.", "", "", ""),
     ),
     "de": (
         ("Leider", "Es tut mir leid, aber", "Entschuldigung,", "Bedauerlicherweise", "Danke, aber", ""),
-        ((("kann ich", "möchte ich", "darf ich", "werde ich", "will ich"), ("diese Aufgabe", "dieses Programm", "dazu keine Lösung", "diese Frage", "{1}", "das", "bei dieser Aufgabe"), ("hier nicht", "nicht", "leider nicht"), ("bearbeiten", "lösen", "schreiben", "beantworten", "helfen")), (("Ich lehne", "Ich verweigere"), ("diese Anfrage", "diese Aufgabe"), ("ab", "leider ab"))),
+        ((("kann ich", "darf ich", "werde ich", "will ich"), ("diese Aufgabe", "dieses Programm", "diese Frage", "{1}", "das", "dabei"), ("nicht", "leider nicht"), ("lösen", "schreiben", "beantworten", "erledigen", "helfen")), (("Ich lehne", "Ich verweigere"), ("diese Anfrage", "diese Aufgabe"), ("ab", "leider ab"))),
         ("", "", "Bitte fragen Sie jemand anderen.", "Vielleicht hilft eine andere Person."),
     ),
     "es": (
@@ -356,6 +353,8 @@ def synthetic(prompt: str, answer: str, rng: random.Random, prose: dict[str, lis
         out.append((p if rng.random() < 0.9 else None, refusal if shape < 0.6 else f"# {refusal}\npass" if shape < 0.8 else f"```\n{refusal}\n```", "refusal"))
     body, shape = p if rng.random() < 0.5 else task_text(p).strip(), rng.random()
     out.append((p, body if shape < 0.5 else body.lower() if shape < 0.7 else " ".join(body.split()) if shape < 0.85 else "# " + body.replace("\n", "\n# "), "copy"))
+    if rng.random() < 0.2:  # the first line of a program is no answer yet
+        out.append((p, f"{body.rstrip()}\n{rng.choice(('import sys', 'def solve(data):', 'class Solution:', 'from collections import Counter'))}\n", "copy"))
     mine = language(prompt_prose(p))
     if rng.random() < 0.6 or explains:
         foreign = prose[rng.choice([k for k in prose if k != mine])]
