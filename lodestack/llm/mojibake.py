@@ -80,7 +80,7 @@ SAMPLES = (
     "¿Qué ocurrió después? El niño también comió más jamón según la canción; el árbol pequeño está aquí, y además la razón es fácil. Sólo él lo sabía: mañana habrá música.",
     "A função não é válida: há três razões para a solução já não estar aqui, também às vezes ninguém vê os órgãos e as posições. Você não põe açúcar no café da manhã, pois são opções úteis.",
     "После проверки каждая строка сохраняется в памяти, чтобы можно было быстро найти нужное значение и вернуть ответ. Если число больше предыдущего, функция должна пропустить его и продолжить работу; эта ошибка возникает из-за неверного условия. Объём данных ещё растёт, поэтому мы считаем только последние шаги цикла. Например, жёлтый флаг съехал вниз, а юный художник щедро выбрал другой цвет.",
-    "Учитель проверил домашние задания и сказал, что большинство учеников справились хорошо; некоторые ответы всё же пришлось исправлять дважды. Вечером они вышли из дома, прошли вдоль реки до старого моста и долго обсуждали, как лучше описать увиденное. Список содержит пустые строки, описание которых появится позднее, когда система выводит результаты без разделителя и отклоняет неверный шаг.",
+    "Учитель проверил домашние задания и сказал, что большинство учеников справились хорошо; некоторые упражнения всё же пришлось исправлять дважды. Вечером они вышли из дома, прошли вдоль реки до старого моста и долго обсуждали увиденное. В городе давно не было такой тёплой осени: дети играли во дворе, соседи сидели на скамейке, а над крышами медленно поднимался белый дым. Завтра утром поезд отправится на север, и путешественники наконец увидят большие озёра, тихие леса и высокие горы.",
 )
 
 
