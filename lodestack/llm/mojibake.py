@@ -167,8 +167,10 @@ def _best(text: str, now: float, paired: bool, swapped: bool, known: frozenset |
                 if intended != "utf-8":
                     have = usual(text, known) if have is None else have
                     will = usual(other, known)
-                    # where only signs change, there are no letters to judge by
-                    if (pairs := letter_pairs(other)) != letter_pairs(text) and (len(pairs) < 4 or will < USUAL or will < have + GAIN):
+                    # where only signs change, or a strange letter within a word of another script becomes one, there are no letters to judge by
+                    pairs = letter_pairs(other)
+                    sign = not pairs and have == 0 and _MIXED.search(text)
+                    if pairs != letter_pairs(text) and not sign and (len(pairs) < 4 or will < USUAL or will < have + GAIN):
                         continue
                 best, least = other, c
     return best, least
