@@ -51,6 +51,26 @@ def test_near_duplicates_against_all_pairs(spark, size):
     assert {(r.a, r.b) for r in links.collect()} == {p for p in want if set(p) <= reps}
 
 
+def test_near_duplicates_with_scattered_changes_and_moved_lines(spark):
+    rng = random.Random(5)
+    texts = []
+    for n in (60, 64, 70, 90, 150, 400):
+        lines = [[f"v{rng.randrange(5000)}" for _ in range(10)] for _ in range(n // 10)]
+        flat = [t for line in lines for t in line]
+        texts.append(flat)
+        for step in (13, 14, 15, 16, 18):  # no long run stays whole
+            texts.append([f"z{rng.randrange(10**6)}" if i % step == step // 2 else t for i, t in enumerate(flat)])
+        for _ in range(3):  # runs of ten tokens in another order
+            texts.append([t for line in rng.sample(lines, len(lines)) for t in line])
+        texts.append([*flat, *(f"y{rng.randrange(10**6)}" for _ in range(n // 2))])
+        texts.append([*(f"y{rng.randrange(10**6)}" for _ in range(n // 5)), *flat[: n * 9 // 10]])
+    rows = [(f"r{i:03d}", " ".join(t)) for i, t in enumerate(texts)]
+    sets = {k: _runs(t) for k, t in rows}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if _agree(sets[a], sets[b]) >= 0.65}
+    assert len(want) > 60
+    assert {(r.a, r.b) for r in neardup.similar_pairs(spark.createDataFrame(rows, "id string, code string"), "id", "code").collect()} == want
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id string, code string")
     assert neardup.similar_pairs(df, "id", "code").count() == 0
